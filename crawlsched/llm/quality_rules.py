@@ -56,13 +56,14 @@ def bucket(*tokens: Column) -> Column:
 
 def hashed(docs: DataFrame, text: str) -> DataFrame:
     """Adds _grams: the buckets of all single tokens, then of all neighbours."""
-    d = docs.withColumn("_tokens", grams(F.col(text)))
-    return d.withColumn("_grams", F.concat(F.transform("_tokens", lambda x: bucket(x)), F.transform("_tokens", lambda x, i: bucket(x, F.coalesce(F.get(F.col("_tokens"), i + 1), F.lit("")))))).drop("_tokens")
+    both = lambda t: F.concat(F.transform(t, lambda x: bucket(x)), F.transform(t, lambda x, i: bucket(x, F.coalesce(F.get(t, i + 1), F.lit("")))))
+    # Bound by a one-element transform: the optimizer would else work the tokens out again for each of them.
+    return docs.withColumn("_grams", F.element_at(F.transform(F.array(grams(F.col(text))), both), 1))
 
 
 def model(docs: DataFrame, text: str, trusted: str) -> DataFrame:
     """One row with one array: log(trusted / raw) of each bucket, add-PRIOR smoothed towards the raw distribution."""
-    counts = hashed(docs, text).select(F.col(trusted).cast("int").alias("good"), F.explode("_grams").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("good").alias("g"))
+    counts = hashed(docs, text).select(F.col(trusted).cast("int").alias("good"), F.explode_outer("_grams").alias("b")).groupBy("b").agg(F.count("*").alias("n"), F.sum("good").alias("g")).filter("b is not null")
     # A row for each bucket, so that the array can be read by position.
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"))
     summed = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"), F.sum(F.coalesce("g", F.lit(0))).alias("g"))
