@@ -2,7 +2,7 @@
 
 ``chunks`` turns rows (id, url, payload) into a table with one row per record, or, for payloads over ``chunk_bytes``,
 one row per (record identifier, chunk number). Every chunk carries the digest of the payload up to its end, so that
-no step holds a whole record. ``write`` puts the chunks out as WARC/1.1 text: an oversized record becomes a first
+no step holds a whole record. ``write`` puts the chunks out as gzipped WARC/1.1: an oversized record becomes a first
 segment and ``continuation`` records, as the standard has it. ``read_chunks`` parses archives to the same table, and
 ``digests`` folds a chunk table to one row per record, with a running SHA-1 for the records of several chunks.
 
@@ -13,6 +13,7 @@ responses); an empty table gives an archive folder without records.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -106,7 +107,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
 
         return records(batches, chunk_bytes, TaskContext.get().partitionId())
 
-    revisits(pages, page_id, url, payload, least_bytes).mapInArrow(put, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    revisits(pages, page_id, url, payload, least_bytes).mapInArrow(put, "value string").write.option("lineSep", "\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
 
 
 def _header(line: bytes, name: bytes) -> str | None:
@@ -160,7 +161,7 @@ def read_chunks(spark: SparkSession, path: str, keep_all: bool = True) -> DataFr
         for batch in batches:
             for x in batch.column(0):
                 rows, held = [], 0
-                for row in parse(bytes(x.as_buffer()), keep_all):
+                for row in parse(gzip.decompress(bytes(x.as_buffer())), keep_all):
                     rows.append(row)
                     held += len(row[-1] or b"")
                     if held > 16 * CHUNK_BYTES or len(rows) >= 4096:
@@ -169,7 +170,7 @@ def read_chunks(spark: SparkSession, path: str, keep_all: bool = True) -> DataFr
                 if rows:
                     yield _table(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("content").mapInArrow(get, CHUNK_SCHEMA)
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.txt.gz").load(path).select("content").mapInArrow(get, CHUNK_SCHEMA)
 
 
 def digests(chunks: DataFrame) -> DataFrame:
