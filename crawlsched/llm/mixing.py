@@ -24,6 +24,7 @@ from crawlsched.llm.shared import SPACE, WORD
 BLOCK_WORDS = 8
 SHARD_WORDS = 65536
 MOST_SHARDS = 256
+BROADCAST_ROWS = 100_000
 SEED = 17
 
 
@@ -100,7 +101,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
             have = max(1, blocks(words))
             rows.append((bool(k[0]), k[1].decode(), len(own), i, n, float(t), quota // have, quota % have, have, words))
     plan = spark.createDataFrame(rows, "s_null boolean, s string, per int, shard int, source_size long, target double, each int, more long, blocks long, words long")
-    per = plan.select("s_null", "s", "per").distinct()
+    per = spark.createDataFrame(sorted({r[:3] for r in rows}), "s_null boolean, s string, per int")
+    if len(rows) <= BROADCAST_ROWS:  # else joined by shuffle; the hot source is then split by its bucket below
+        per, plan = F.broadcast(per), F.broadcast(plan)
     d = d.join(per, ["s_null", "s"]).withColumn("shard", F.pmod("bucket", F.col("per"))).drop("per")
     order = Window.partitionBy("s_null", "s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size")
     d = d.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,13 +38,15 @@ class Scratch:
         self.spark, self.path = spark, f"{shared_dir(spark)}/crawlsched/{name}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
-        """For a table that nothing to come reads."""
+        """For a table that nothing to come reads. The collection lets Spark's cleaner free the shuffles behind it."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def fold(doc_id: Column, n: int) -> Column:
