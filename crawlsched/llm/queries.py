@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsched.llm import mixing, packing, pii, quality_rules, topk, warc
+from crawlsched.llm import katz, mixing, packing, pii, quality_rules, topk, warc
 from crawlsched.llm.shared import Scratch, read
 
 QUERIES: dict = {}
@@ -40,6 +40,11 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.topk(read(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+@query
+def op6_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents"))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer())
