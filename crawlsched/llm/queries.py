@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlsched.llm import katz, mixing, packing, pii, quality_rules, topk, warc
+from crawlsched.llm import katz, mixing, neardup, packing, pii, quality_rules, topk, warc
 from crawlsched.llm.shared import Scratch, read
 
 QUERIES: dict = {}
@@ -29,6 +29,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"), trusted)
 
 
+@query
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
 @query
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
