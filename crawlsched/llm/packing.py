@@ -17,6 +17,8 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,56 +31,95 @@ from crawlsched.llm.shared import Scratch
 CAPACITY = 4096
 END = 1
 SALTS = 64
-CACHE_WORDS = 300_000
+CACHE_CHUNKS = 300_000
+CACHE_WORDS = 1_000_000
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_ODD = re.compile("[\t\n\r ]+")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Identifiers of texts as little-endian uint32 bytes, with a bounded cache of words."""
+    """Identifiers of texts as little-endian uint32 bytes, with bounded caches.
+
+    White space parts texts into chunks. A chunk of letters with ASCII signs behind them is two words to the tokenizer
+    (``_TAIL`` leaves out the apostrophe, which may belong to either), so its identifiers are put together from caches
+    of lower-case words and of tails; other chunks are encoded whole."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        self.part = re.compile("[\t\n\r ]+").split
+        self.tokenizer = Tokenizer.from_file(path)
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
+    def batch(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            for w, e in zip(some, encode(some, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 4096) for e in encode(texts[at : at + 4096], add_special_tokens=False)]
+
+    def learn(self, chunks: set[str]) -> None:
+        new = [c for c in chunks if c not in self.chunks]
+        if len(self.chunks) + len(new) > CACHE_CHUNKS:
+            self.chunks.clear()
+            new = list(chunks)
+        easy, hard = [], []
+        for c in new:
+            body = c.rstrip(_TAIL)
+            word = body.lower()
+            if body.isalpha() and word.isalpha() and "\u03a3" not in body and (body.isascii() or is_normalized("NFC", body)):
+                easy.append((c, word, c[len(body) :]))
+            else:
+                hard.append(c)
+        unknown = list({w for _, w, _ in easy if w not in self.words})
+        if len(self.words) + len(unknown) > CACHE_WORDS:
+            self.words.clear()
+            unknown = list({w for _, w, _ in easy})
+        for at in range(0, len(unknown), 2048):
+            some = unknown[at : at + 2048]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
+            cuts = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
+            for w, x, y in zip(some, cuts, cuts[1:], strict=False):
+                self.words[w] = ids[x:y]
+        tails = list({t for _, _, t in easy if t not in self.tails})
+        if len(self.tails) + len(tails) > CACHE_WORDS:
+            self.tails = {"": b""}
+            tails = list({t for _, _, t in easy} - {""})
+        self.tails.update(zip(tails, self.batch(tails), strict=True))
+        for c, w, t in easy:
+            self.chunks[c] = self.words[w] + self.tails[t]
+        self.chunks.update(zip(hard, self.batch(hard), strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        words = [self.part(t) for t in texts]
-        seen: set[str] = set()
-        for w in words:
-            seen.update(w)
-        if len(seen) > CACHE_WORDS:  # very long texts: word by word
-            seen = set()
-        self.learn(seen)
-        get = self.cache.__getitem__
-        for w in words:
-            if seen:
-                yield b"".join(map(get, w))
-            else:
-                parts = []
-                for at in range(0, len(w), 100_000):
-                    self.learn(set(w[at : at + 100_000]))
-                    parts.append(b"".join(map(get, w[at : at + 100_000])))
-                yield b"".join(parts)
+        # str.split() takes \x1c to \x1f for white space, the tokenizer does not.
+        parted = [_ODD.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
+        seen = set().union(*parted)
+        if len(seen) <= CACHE_CHUNKS:
+            self.learn(seen)
+            for c in parted:
+                yield b"".join(map(self.chunks.__getitem__, c))
+            return
+        for c in parted:  # very long texts, piece by piece
+            out = []
+            for at in range(0, len(c), 100_000):
+                self.learn(set(c[at : at + 100_000]))
+                out.append(b"".join(map(self.chunks.__getitem__, c[at : at + 100_000])))
+            yield b"".join(out)
+
+
+@lru_cache(maxsize=2)
+def word_tokenizer(path: str) -> WordTokenizer:
+    """One for each Python worker, so that its caches last from task to task."""
+    return WordTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """One row per piece of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches):
-        tok, stop, step = WordTokenizer(tokenizer), np.array([end], "<u4").tobytes(), 4 * capacity
+        tok, stop, step = word_tokenizer(tokenizer), np.array([end], "<u4").tobytes(), 4 * capacity
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for lo in range(0, len(ids), 256):
