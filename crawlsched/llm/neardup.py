@@ -198,7 +198,7 @@ def components(edges: DataFrame, keep: Scratch, name: str) -> DataFrame:
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, node (the text's hash) for every row."""
+    """doc_id, class_id, node (the text's hash), comp (the class's smallest node) for every row."""
     spark, keep = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = d.select("doc_id", "text", F.xxhash64(F.lit(7), "text").alias("node"))
@@ -264,10 +264,26 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         label = keep.keep(components(links, keep, f"comp-{turn}"), f"label-{turn}")
     first = nodes.select("node", "first")
     if label is None:
-        named = first.withColumnRenamed("first", "class_id")
+        named = first.select("node", F.col("first").alias("class_id"), F.col("node").alias("comp"))
     else:
         labelled = first.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         name = labelled.groupBy("comp").agg(F.min("first").alias("class_id"))
-        named = labelled.join(name, "comp").select("node", "class_id")
+        named = labelled.join(name, "comp").select("node", "class_id", "comp")
     rows = d.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(7), "text")).alias("node"))
-    return rows.join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "node")
+    return rows.join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "node", "comp")
+
+
+def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` for each class, that of its smallest identifier (rows without one come last); every row with
+    a null text stays."""
+    keep = Scratch(docs.sparkSession, "representatives")
+    none = F.lit(-(2**63)).cast("long")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", none).alias("_id"), "node")
+    found = keep.keep(classes(docs, doc_id, text).filter("node is not null").groupBy("comp").agg(F.min(order).alias("m"), F.count("*").alias("n")).select("m.*", "n"), "kept")
+    d = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), none)).withColumn("_node", F.xxhash64(F.lit(7), F.col(text).cast("string")))
+    named = d.filter(F.col(text).isNotNull())
+    # Rows repeated under one identifier (rare) are reduced within each task first, then by key.
+    if found.join(named.groupBy("_id", "_node").agg(F.count("*").alias("k")).filter("k > 1").select("_id", F.col("_node").alias("node")), ["_id", "node"], "left_semi").limit(1).count():
+        named = named.dropDuplicates(["_id", "_node"])
+    picked = named.join(found.select("_id", F.col("node").alias("_node")), ["_id", "_node"], "left_semi")
+    return picked.unionByName(d.filter(F.col(text).isNull())).select(*docs.columns)
