@@ -31,8 +31,8 @@ from crawlsched.llm.shared import Scratch
 CAPACITY = 4096
 END = 1
 SALTS = 64
-CACHE_CHUNKS = 300_000
-CACHE_WORDS = 1_000_000
+CACHE_CHUNKS = 800_000
+CACHE_WORDS = 800_000
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _ODD = re.compile("[\t\n\r ]+")
@@ -59,54 +59,61 @@ class WordTokenizer:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 4096) for e in encode(texts[at : at + 4096], add_special_tokens=False)]
 
+    def tail(self, signs: str) -> bytes:
+        found = self.tails.get(signs)
+        if found is None:
+            if len(self.tails) >= CACHE_WORDS:
+                self.tails = {"": b""}
+            found = self.tails[signs] = self.batch([signs])[0]
+        return found
+
     def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.chunks]
-        if len(self.chunks) + len(new) > CACHE_CHUNKS:
+        if len(self.chunks) + len(chunks) > CACHE_CHUNKS:
             self.chunks.clear()
-            new = list(chunks)
-        easy, hard = [], []
-        for c in new:
+        known, out, later, hard = self.words, self.chunks, [], []
+        unknown: dict[str, None] = {}
+        for c in chunks:
             body = c.rstrip(_TAIL)
             word = body.lower()
-            if body.isalpha() and word.isalpha() and "\u03a3" not in body and (body.isascii() or is_normalized("NFC", body)):
-                easy.append((c, word, c[len(body) :]))
-            else:
+            if not (body.isalpha() and (body.isascii() or (word.isalpha() and "\u03a3" not in body and is_normalized("NFC", body)))):
                 hard.append(c)
-        unknown = list({w for _, w, _ in easy if w not in self.words})
-        if len(self.words) + len(unknown) > CACHE_WORDS:
-            self.words.clear()
-            unknown = list({w for _, w, _ in easy})
-        for at in range(0, len(unknown), 2048):
-            some = unknown[at : at + 2048]
+            elif (ids := known.get(word)) is None:
+                unknown[word] = None
+                later.append((c, word, len(body)))
+            else:
+                out[c] = ids if len(body) == len(c) else ids + self.tail(c[len(body) :])
+        if len(known) + len(unknown) > CACHE_WORDS:
+            known.clear()
+        new = list(unknown)
+        for at in range(0, len(new), 2048):
+            some = new[at : at + 2048]
             e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
             ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
             cuts = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
             for w, x, y in zip(some, cuts, cuts[1:], strict=False):
-                self.words[w] = ids[x:y]
-        tails = list({t for _, _, t in easy if t not in self.tails})
-        if len(self.tails) + len(tails) > CACHE_WORDS:
-            self.tails = {"": b""}
-            tails = list({t for _, _, t in easy} - {""})
-        self.tails.update(zip(tails, self.batch(tails), strict=True))
-        for c, w, t in easy:
-            self.chunks[c] = self.words[w] + self.tails[t]
-        self.chunks.update(zip(hard, self.batch(hard), strict=True))
+                known[w] = ids[x:y]
+        for c, word, n in later:
+            out[c] = known[word] if n == len(c) else known[word] + self.tail(c[n:])
+        out.update(zip(hard, self.batch(hard), strict=True))
+
+    def joined(self, parted: list[list[str]]) -> list[bytes]:
+        found = [list(map(self.chunks.get, c)) for c in parted]
+        missing = {x for c, got in zip(parted, found, strict=True) if None in got for x, y in zip(c, got, strict=True) if y is None}
+        if missing:
+            self.learn(missing)
+            for k, (c, got) in enumerate(zip(parted, found, strict=True)):
+                if None in got:
+                    found[k] = [self.chunks[x] if y is None else y for x, y in zip(c, got, strict=True)]
+        return [b"".join(got) for got in found]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         # str.split() takes \x1c to \x1f for white space, the tokenizer does not.
         parted = [_ODD.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        seen = set().union(*parted)
-        if len(seen) <= CACHE_CHUNKS:
-            self.learn(seen)
-            for c in parted:
-                yield b"".join(map(self.chunks.__getitem__, c))
+        if sum(map(len, parted)) <= CACHE_CHUNKS:
+            yield from self.joined(parted)
             return
         for c in parted:  # very long texts, piece by piece
-            out = []
-            for at in range(0, len(c), 100_000):
-                self.learn(set(c[at : at + 100_000]))
-                out.append(b"".join(map(self.chunks.__getitem__, c[at : at + 100_000])))
-            yield b"".join(out)
+            yield b"".join(self.joined([c[at : at + 100_000]])[0] for at in range(0, len(c), 100_000))
 
 
 @lru_cache(maxsize=2)

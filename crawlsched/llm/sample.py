@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+SALTS = 64
+
 
 def bounded(rows: DataFrame, by: str, most: int, longest: int, seed: int = 3) -> list:
     """At most ``most`` rows (doc_id, text, by) for each value of ``by``, those with the lowest seeded hashes, among
     texts of at most ``longest`` characters. Identifiers are drawn first, so texts of other rows never move."""
     fit: Column = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col(by).isNotNull() & (F.length("text") <= longest)
     ids = rows.filter(fit).select("doc_id", by, F.xxhash64(F.lit(seed), "doc_id").alias("_h"))
-    w = Window.partitionBy(by).orderBy("_h", "doc_id")
-    drawn = ids.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select("doc_id", by).collect()
+    # Within each of SALTS parts of a value first, so that a value with most of the rows is no single task's.
+    order, nth = ("_h", "doc_id"), F.row_number()
+    ids = ids.withColumn("_salt", F.pmod("_h", F.lit(SALTS)))
+    few = ids.withColumn("_n", nth.over(Window.partitionBy(by, "_salt").orderBy(*order))).filter(F.col("_n") <= most)
+    drawn = few.withColumn("_n", nth.over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_n") <= most).select("doc_id", by).collect()
     if not drawn:
         return []
     few = rows.sparkSession.createDataFrame(sorted({(int(r["doc_id"]),) for r in drawn}), "doc_id long")
