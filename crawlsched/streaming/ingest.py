@@ -14,10 +14,9 @@ from crawlsched.schema import PUTS
 from crawlsched.sources.puts import parse_lines
 
 
-def line_stream(spark: SparkSession, path: str, crawl_id: str = "", files_per_trigger: int = 100) -> DataFrame:
-    """Put items of text files as they appear below ``path``. ``seq`` orders the items of a micro-batch."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
-    return parse_lines(lines, crawl_id).filter("kind != 'invalid'")
+def line_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
+    """Lines of text files (column ``value``) as they appear below ``path``."""
+    return spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
 
 
 def put_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -25,11 +24,13 @@ def put_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     return spark.readStream.schema(PUTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def start(frontier: Frontier, puts: DataFrame, checkpoint: str, acks: str | None = None, source: str = "stream", trigger: dict | None = None, clock: Callable[[], int] = lambda: int(time.time())) -> StreamingQuery:
-    """Fold every micro-batch into ``frontier``. The number of the micro-batch is part of the commit, so one that is
+def start(frontier: Frontier, puts: DataFrame, checkpoint: str, acks: str | None = None, source: str = "stream", trigger: dict | None = None, crawl_id: str = "", clock: Callable[[], int] = lambda: int(time.time())) -> StreamingQuery:
+    """Fold every micro-batch of put items, or of lines (read as items of ``crawl_id``), into ``frontier``. The number of the micro-batch is part of the commit, so one that is
     replayed after a failure changes nothing. Acknowledgements go to ``acks``/epoch=N, which a replay leaves alone."""
 
     def fold(batch: DataFrame, epoch: int) -> None:
+        if "seq" not in batch.columns:  # numbers for lines can only be given within a micro-batch
+            batch = parse_lines(batch, crawl_id).filter("kind != 'invalid'")
         done = frontier.put_urls(batch, clock(), source, epoch)
         if acks and done.head(1):
             done.withColumn("ts", F.current_timestamp()).write.mode("overwrite").parquet(f"{acks}/epoch={epoch}")
