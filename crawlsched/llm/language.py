@@ -106,7 +106,7 @@ class Model:
             use = np.ones(len(sym), bool)
             use[begin] = False  # the leading blank is context only
             rows = np.stack([x[use] for x in g], 1) if len(sym) else np.zeros((0, ORDER), np.uint64)
-            context = [np.concatenate(([0], x[:-1])).astype(np.uint64)[use] if len(x) else x for x in g]
+            context = [np.concatenate((np.zeros(1, np.uint64), x[:-1]))[use] if len(x) else x for x in g]
             # distinct 4-grams with their shorter suffixes, and the contexts (k-grams one position before)
             _, first, c = np.unique(rows[:, ORDER - 1], return_index=True, return_counts=True)
             counts.append((rows[first], [x[first] for x in context], c))
