@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from crawlsched.llm.shared import SPACE
 
 BUCKETS = 16384
+BROADCAST_IDS = 1 << 20
 LEAST = -0.25
 PRIOR = 1.0
 TOKEN = r"[\p{L}\p{M}]+|\p{Nd}+|[^\p{L}\p{M}\p{Nd}\s]+"
@@ -79,6 +80,8 @@ def judge(docs: DataFrame, trusted: DataFrame | None = None, doc_id: str = "doc_
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     if trusted is not None:
         ids = trusted.select(F.col("doc_id").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("_good", F.lit(1))
+        # Sent to all while there are few of them, so that texts stay where they are; else joined by a shuffle.
+        ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
         learn = d.join(ids, "doc_id", "left").withColumn("_good", F.coalesce("_good", F.lit(0)))
     else:
         learn = d.withColumn("_good", F.lit(0))
