@@ -39,6 +39,7 @@ COMMON = 0.01
 BUCKETS = 1 << 18
 SUBS = 8
 ROUNDS = 3
+BROADCAST_NODES = 1 << 20
 _RNG = np.random.default_rng(1234567)
 _ODD = _RNG.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
 _ADD = _RNG.integers(0, 2**63, SAMPLES, dtype=np.uint64)
@@ -47,7 +48,7 @@ _BETA = _RNG.random(1 << 16)
 _FLAT = (_R * (1 - _BETA)).astype(np.float32)
 _U24 = np.uint64((1 << 24) - 1)
 _MIXERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-FLOOR = 0.05
+FLOOR = 0.6
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +237,15 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                 ok = [i for i, x in enumerate(sim) if max(x) >= LEAST]
                 yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(ok, pa.int64())), part.column("b").take(pa.array(ok, pa.int64())), pa.array([sim[i][0] for i in ok], pa.float64())], names=["a", "b", "similarity"])
 
-    texts = rows.filter("text is not null").select("node", "text")
+    def among(df: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+        """Rows of ``df`` with one of ``nodes``, which are broadcast while there are few."""
+        nodes = keep.keep(nodes, name)
+        return df.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi")
+
+    # Only texts that share a bucket are ever compared; they are put aside once, one for each node.
+    texts = among(rows.filter("text is not null").select("node", "text"), banded.select("node").distinct(), "candidates")
+    texts = keep.keep(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    keep.free()
     links, label = None, None
     for turn in range(ROUNDS + 1):
         # Leaders of a bucket, by a seeded order; counted in parts first, so that a large bucket is no single task's.
@@ -253,11 +262,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         if label is not None:
             edges = edges.join(label.select(F.col("node").alias("to"), F.col("comp").alias("to_comp")), "to", "left").filter(F.col("comp") != F.coalesce("to_comp", "to"))
         pairs = keep.keep(edges.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), f"pairs-{turn}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        used = keep.keep(texts.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), f"texts-{turn}")
+        used = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"wanted-{turn}")
         joined = pairs.join(used.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         found = keep.keep(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, similarity double"), f"links-{turn}")
-        keep.drop(f"texts-{turn}")
+        keep.drop(f"wanted-{turn}")
         if not found.limit(1).count():
             break
         links = found if links is None else links.unionByName(found)
