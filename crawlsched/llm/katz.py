@@ -152,6 +152,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
 
     asked = b0.mapInArrow(ask_words, "p int, block string, words binary, counts binary").repartition(parts, "p")
     replies = keep.keep(asked.groupBy("p").applyInArrow(answer_words, "block string, p int, ids binary, counts binary, stats array<long>"), "words")
+    keep.free()
     stats = np.array([r.stats for r in replies.filter("block is null").select("stats").collect()]).sum(0)  # a row for each part
     types, seen_n = int(stats[0]), [int(x) for x in stats[1 : LARGE + 2]]
     d1 = discounts(seen_n)
@@ -239,6 +240,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
 
     asked = b1.mapInArrow(ask_pairs, "p int, block string, h binary, many binary, w binary, wc binary, n binary").repartition(parts, "p")
     replies = keep.keep(asked.groupBy("p").applyInArrow(answer_pairs, "block string, p int, count binary, t binary, q binary, few binary, stats array<long>"), "pairs")
+    keep.free()
     d2 = discounts([int(x) for x in np.array([r.stats for r in replies.filter("block is null").select("stats").collect()]).sum(0)])
     listed = replies.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "count", "t", "q", "few"))).alias("replies"))
 

@@ -42,9 +42,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, name: str) -> None:
-        """For a table that nothing to come reads. The collection lets Spark's cleaner free the shuffles behind it."""
+        """For a table that nothing to come reads."""
         p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.free()
+
+    def free(self) -> None:
+        """Let go of the shuffles behind tables that are written."""
         gc.collect()
         self.spark._jvm.System.gc()
 
