@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,9 +49,12 @@ class Scratch:
         self.free()
 
     def free(self) -> None:
-        """Let go of the shuffles behind tables that are written."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Let go of the shuffles behind tables that are written. To be called once a later query has run: the plan of
+        the last one is still held. Spark's cleaner works on its own, so it is given a moment."""
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def fold(doc_id: Column, n: int) -> Column:
