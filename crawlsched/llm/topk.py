@@ -115,8 +115,9 @@ def topk(vectors: DataFrame, k: int, query_every: int, vec_id: str = "vec_id", e
             for row in b.to_pylist():
                 qid, vid, q, v, parts = _pair(row)
                 out = []
-                with np.errstate(over="ignore"):  # the same number for equal vectors
-                    same = v.astype(np.int64) @ (np.arange(1, v.shape[1] + 1, dtype=np.int64) * np.int64(0x9E3779B97F4A7C1))
+                odd = np.random.default_rng(5).integers(1, 2**63, v.shape[1] + 1, dtype=np.int64) | 1
+                with np.errstate(over="ignore"):  # the same number for equal vectors cut into the same slices
+                    same = v.astype(np.int64) @ odd[1:] + np.int64(v.shape[1]) * odd[0]
                 for j, s in enumerate(parts):
                     score = q[:, s] @ v[:, s].T
                     for i, own in enumerate(qid):
@@ -133,8 +134,9 @@ def topk(vectors: DataFrame, k: int, query_every: int, vec_id: str = "vec_id", e
     lists = vb.join(spread, ["qb", "cell"]).mapInArrow(first, "qb string, query_id long, part int, vec_id long, row long, score long, low long")
     by_part = Window.partitionBy("qb", "query_id", "part")
     lists = lists.withColumn("low", F.min("low").over(by_part)).withColumn("n", F.row_number().over(by_part.orderBy(F.desc("score"), "vec_id", "row"))).filter(F.col("n") <= k)
-    # Lower bound of each listed vector: its known partial scores, and the slice's minimum for the rest.
-    gains = lists.groupBy("qb", "query_id", "vec_id", "row").agg(F.sum(F.col("score") - F.col("low")).alias("gain"))
+    # Lower bound of each listed vector: its known partial scores, and the slice's minimum for the rest. A repeated row
+    # stands in a list several times, and counts once.
+    gains = lists.groupBy("qb", "query_id", "vec_id", "row", "part").agg(F.max(F.col("score") - F.col("low")).alias("gain")).groupBy("qb", "query_id", "vec_id", "row").agg(F.sum("gain").alias("gain"))
     lows = lists.groupBy("qb", "query_id").agg(F.array_sort(F.collect_set(F.struct("part", "low"))).alias("lows"))
     best = gains.groupBy("qb", "query_id").agg(F.get(F.sort_array(F.collect_list("gain"), False), F.lit(k - 1)).alias("gain"))
     every = F.aggregate("lows", F.lit(0).cast("long"), lambda a, x: a + x["low"])

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -222,6 +223,19 @@ def test_topk(spark):
     assert topk.topk(d.limit(0), 5, 50).count() == 0 and topk.topk(d.filter("vec_id = 0"), 5, 50).count() == 0
 
 
+def test_topk_of_repeated_block_sparse_rows(spark):
+    """Scores in few slices, rows repeated under one identifier, and unlike rows of one identifier."""
+    rng = random.Random(1)
+    rows = []
+    for i in range(200):
+        at = 4 * rng.randrange(4)
+        v = [rng.randint(0, 256) / 256 if i % 100 == 0 or at <= k < at + 4 else 0.0 for k in range(16)]
+        rows += [(i, v)] * rng.choice((2, 3))
+    rows += [(7, [v[0] + 2.0, v[1] - 1.0, *v[2:]]) for _, v in rows[:1]] + [(7, v) for _, v in rows[:1]]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in topk.topk(d, 5, 100).collect()) == best(rows, 5, 100)
+
+
 # 6
 
 
