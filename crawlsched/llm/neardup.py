@@ -7,8 +7,10 @@ proportion to its weight, equal for two documents with the probability of their
 ROWS samples make bucket keys. Documents of a bucket are compared with leaders of the bucket (its first and last, and
 the first of each of SUBS seeded parts), and linked if the weighted or the plain Jaccard similarity of the full shingle
 sets is at least LEAST; the plain one is there so that the weighting never undoes a link. Buckets whose documents are
-still in several classes go round again with other leaders, until a round finds no link (at most ROUNDS). Classes are
-the connected components.
+still in several classes go round again with other leaders, until a round finds no link (at most ROUNDS). This only
+saves work: in buckets that are still open then, every document outside the bucket's largest class is compared with
+every document of another class, in blocks of GROUP by GROUP documents that are dealt out. So each pair that shares a
+bucket is compared or is of one class already. Classes are the connected components.
 
 Which shingles are common is exact: pass one adds up counts in a table of BUCKETS cells (a fixed size); a shingle above
 COMMON lies in a cell above it; pass two counts just the shingles in such cells. Their number is at most 1 / COMMON
@@ -39,6 +41,7 @@ COMMON = 0.01
 BUCKETS = 1 << 18
 SUBS = 8
 ROUNDS = 3
+GROUP = 128
 BROADCAST_NODES = 1 << 20
 _RNG = np.random.default_rng(1234567)
 _ODD = _RNG.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -135,6 +138,53 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (wa.sum() + wb.sum() - both), len(i) / (len(a[0]) + len(b[0]) - len(i))
 
 
+def block_links(table: pa.Table, common) -> list[tuple[int, int, float]]:
+    """Links between the rows ``side`` 0 and 1 of one block of a bucket that join different classes; links that join the
+    same two classes again are left out. A pair that shares several buckets belongs to the one with the smallest key."""
+    table = table.sort_by("side").combine_chunks()
+    n = int(np.count_nonzero(np.asarray(table["side"]) == 0))
+    node, comp, rest, bucket = (np.asarray(table[c]) for c in ("node", "comp", "rest", "key"))
+    comp = np.unique(comp, return_inverse=True)[1]
+    if n == 0 or n == len(node):
+        return []
+    row, s, count = shingles(table["text"].chunk(0))
+    cut, w = np.searchsorted(row, np.arange(len(node) + 1)), weights(s, count, common)
+    word, size = np.unique(s, return_inverse=True)[1], np.diff(cut)
+    heavy = np.add.reduceat(w, cut[:-1])
+    lists = table["keys"].chunk(0)
+    own, owner = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
+    own, owner = own[own < bucket[0]], owner[own < bucket[0]]
+    held, seen = np.zeros(word.max() + 1), set(zip(own[owner >= n].tolist(), owner[owner >= n].tolist(), strict=True))
+    by_key: dict[int, list[int]] = {}
+    for k, j in seen:
+        by_key.setdefault(k, []).append(j - n)
+    at = np.searchsorted(owner, np.arange(n + 1))
+    out = []
+    for i in range(n):
+        other = (comp[n:] != comp[i]) & (~rest[n:] | (node[n:] > node[i]))
+        for k in own[at[i] : at[i + 1]].tolist():
+            other[by_key.get(k, [])] = False
+        a, b = size[i], size[n:]
+        other &= (np.minimum(a, b) >= (LEAST - 1e-9) * np.maximum(a, b)) | (np.minimum(heavy[i], heavy[n:]) >= (LEAST - 1e-9) * np.maximum(heavy[i], heavy[n:]))
+        j = np.flatnonzero(other) + n
+        if not len(j):
+            continue
+        mine = slice(cut[i], cut[i + 1])
+        held[word[mine]] = w[mine]
+        begin = np.concatenate(([0], np.cumsum(size[j])[:-1]))
+        pick = np.repeat(cut[j] - begin, size[j]) + np.arange(size[j].sum())
+        found = held[word[pick]]
+        both, shared = np.add.reduceat(np.minimum(found, w[pick]), begin), np.add.reduceat((found > 0).astype(np.int64), begin)
+        held[word[mine]] = 0
+        weighted = both / (heavy[i] + heavy[j] - both)
+        near = np.flatnonzero(np.maximum(weighted, shared / (a + size[j] - shared)) >= LEAST)
+        for x in near:
+            if comp[j[x]] != comp[i]:
+                out.append((int(min(node[i], node[j[x]])), int(max(node[i], node[j[x]])), float(weighted[x])))
+                comp[comp == comp[j[x]]] = comp[i]
+    return out
+
+
 def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The sorted hashes and the weights of shingles in more than COMMON of the n texts."""
     least = max(2, int(n * COMMON) + 1)
@@ -270,6 +320,30 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
             break
         links = found if links is None else links.unionByName(found)
         label = keep.keep(components(links, keep, f"comp-{turn}"), f"label-{turn}")
+    # What the leaders left open, whole: (outside the largest class) x (all) of each bucket. Buckets of up to three were
+    # compared whole in the first round.
+    now = banded.withColumn("comp", F.col("node")) if label is None else banded.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    now = keep.keep(now, "now")
+    per = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("big"), F.sum("m").alias("m"))
+    per = per.filter("m > 3 and big.m < m").select("key", F.col("big")["comp"].alias("big"), F.ceil((F.col("m") - F.col("big")["m"]) / GROUP).cast("int").alias("na"), F.ceil(F.col("m") / GROUP).cast("int").alias("nb"))
+    left = keep.keep(now.join(per, "key").withColumn("rest", F.col("comp") != F.col("big")), "left")
+    if left.limit(1).count():
+        deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = left.filter("rest").withColumn("ga", deal(200, "na")).withColumn("gb", every("nb")).withColumn("side", F.lit(0))
+        two = left.withColumn("gb", deal(201, "nb")).withColumn("ga", every("na")).withColumn("side", F.lit(1))
+        cells = one.unionByName(two).select("key", "ga", "gb", "side", "node", "comp", "rest")
+        used = among(texts, left.select("node").distinct(), "wanted-left").join(nodes.select("node", "keys"), "node")
+        found = cells.join(keep.keep(used, "used"), "node").groupBy("key", "ga", "gb")
+
+        def whole_block(table: pa.Table) -> pa.Table:
+            got = block_links(table, sent.value)
+            return pa.table({c: pa.array(x, t) for c, x, t in zip(("a", "b", "similarity"), zip(*got, strict=True) if got else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+
+        found = keep.keep(found.applyInArrow(whole_block, "a long, b long, similarity double"), "links-left")
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            label = keep.keep(components(links, keep, "comp-left"), "label-left")
     first = nodes.select("node", "first")
     if label is None:
         named = first.select("node", F.col("first").alias("class_id"), F.col("node").alias("comp"))

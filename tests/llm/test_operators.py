@@ -169,6 +169,20 @@ def test_a_chain_and_a_large_group_of_near_copies(spark):
     assert {got[i] for i in range(300)} == {0} and all(got[1000 + i] == 1000 + i for i in range(50))
 
 
+def test_copies_that_are_near_their_original_only(spark):
+    """Each copy is similar to the original, hardly two copies to each other; no leader need be the original."""
+    rng = random.Random(3)
+    words = [f"o{i}" for i in range(200)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 1500):
+        at = {10 + 45 * k + rng.randrange(35) for k in range(4)}
+        rows.append((i, " ".join(f"n{i}x{k}" if k in at else w for k, w in enumerate(words))))
+    s = sets_of(rows)
+    assert all(len(s[0] & s[i]) >= 0.8 * len(s[0] | s[i]) for i in s)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.class_id for r in neardup.classes(d).collect()} == {0}
+
+
 # 4
 
 
