@@ -3,8 +3,10 @@
 P(w | h) is d(c) c / T for a pair (h, w) seen c times in training, T being the count of h as a history; else it is
 a(h) P(w), where a(h) makes the probabilities after h add up to 1 exactly. P(w) is the discounted share of w, and the
 rest of the mass belongs to the one class of unknown words. A history never seen backs off at once. d(c) follows Katz
-with counts up to LARGE discounted; where counts of counts don't allow it (small corpora), c loses one half. A history
-whose pairs are all undiscounted gives up one half of a count.
+with counts up to LARGE discounted. Where a ratio of raw counts of counts lies outside (0, 1), as repeated documents make
+it, the counts of counts are smoothed first by a line through their logarithms (simple Good-Turing). Only where that line
+falls no faster than 1 / r, or fewer than two counts of counts are above zero, c loses one half. A history whose pairs
+are all undiscounted gives up one half of a count.
 
 Tables are partitioned by the hash of the word or history. Blocks of documents keep their tokens as numbers into their
 own word list; for each partition a block sends its words or pairs once, with training counts, the owner of the
@@ -48,13 +50,29 @@ def take(b: bytes, kind) -> np.ndarray:
 
 def discounts(counts_of_counts: list[int]) -> np.ndarray:
     """d(0..LARGE) from N(1), N(2), ..., N(LARGE + 1); d above LARGE is 1."""
-    n = np.array(counts_of_counts[: LARGE + 1], float)
     r = np.arange(1, LARGE + 1)
-    with np.errstate(all="ignore"):
-        over = (LARGE + 1) * n[LARGE] / n[0]
-        d = ((r + 1) * n[1:] / n[:-1] / r - over) / (1 - over)
-    if not np.all(np.isfinite(d)) or d.min() <= 0 or d.max() >= 1:
-        d = 1 - 0.5 / r
+
+    def katz(n: np.ndarray) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            over = (LARGE + 1) * n[LARGE] / n[0]
+            return np.where(over < 1, ((r + 1) * n[1:] / n[:-1] / r - over) / (1 - over), np.nan)
+
+    def sound(d: np.ndarray) -> bool:
+        return bool(np.all(np.isfinite(d)) and d.min() > 0 and d.max() < 1)
+
+    n = np.array(counts_of_counts[: LARGE + 1], float)
+    d = katz(n)
+    if not sound(d):
+        at = np.flatnonzero(n > 0) + 1
+        if len(at) > 1:
+            # A count of counts stands for the empty ones around it too: half the way to its neighbours on both sides.
+            before, after = np.append(0, at[:-1]), np.append(at[1:], 2 * at[-1] - at[-2])
+            slope, start = np.polyfit(np.log(at), np.log(2 * n[at - 1] / (after - before)), 1)
+            d = katz(np.exp(start + slope * np.log(np.arange(1, LARGE + 2))))
+            if slope >= -1 or not sound(d):
+                d = 1 - 0.5 / r
+        else:
+            d = 1 - 0.5 / r
     return np.concatenate(([0.0], d))
 
 

@@ -299,6 +299,23 @@ def test_katz(spark, docs, odd, none):
     assert katz.score(odd.filter("doc_id = 1")).count() == 1
 
 
+def test_katz_discounts():
+    """Good-Turing ratios of sound counts of counts as they are; of uneven ones (sf0.1's pairs) those of a fitted line."""
+    n = [1000, 300, 140, 80, 50, 33]
+    over = 6 * n[5] / n[0]
+    assert katz.discounts(n)[1:] == pytest.approx([((r + 1) * n[r] / n[r - 1] / r - over) / (1 - over) for r in range(1, 6)])
+    n = [1655711, 262472, 56325, 23262, 20048, 8151]
+    x, y = [math.log(r) for r in range(1, 7)], [math.log(v) for v in n]
+    mx, my = sum(x) / 6, sum(y) / 6
+    slope = sum((a - mx) * (b - my) for a, b in zip(x, y, strict=True)) / sum((a - mx) ** 2 for a in x)
+    over = 6 ** (slope + 1)
+    d = katz.discounts(n)
+    assert d[1:] == pytest.approx([((1 + 1 / r) ** (slope + 1) - over) / (1 - over) for r in range(1, 6)])
+    assert d[1] < 0.4 and all(0 < a < b < 1 for a, b in zip(d[1:], d[2:], strict=False))
+    for n in ([0] * 6, [5, 0, 0, 0, 0, 0], [5] * 6):
+        assert katz.discounts(n)[1:] == pytest.approx([1 - 0.5 / r for r in range(1, 6)])
+
+
 # 7
 
 
