@@ -40,7 +40,7 @@ def noise(key: Column, at: Column, radix: Column) -> Column:
 
 
 def feistel(symbols: Column, radix: Column, kind: Column, key: str) -> Column:
-    """The keyed permutation of a list of numbers below ``radix`` (lists of under two symbols stay)."""
+    """The keyed permutation of a list of numbers below ``radix`` (a single symbol gets a keyed shift, never by 0)."""
     half = F.floor(F.size(symbols) / 2).cast("int")
 
     def turn(state: Column, r: Column) -> Column:
@@ -50,7 +50,7 @@ def feistel(symbols: Column, radix: Column, kind: Column, key: str) -> Column:
         # The hash is bound once for all symbols of the round.
         return F.element_at(F.transform(F.array(seed), lambda h: F.transform(state, lambda x, i: F.when(left == (i < half), F.pmod(x + noise(h, i, radix), radix)).otherwise(x))), 1)
 
-    return F.when(F.size(symbols) >= 2, F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), symbols, turn)).otherwise(symbols)
+    return F.when(F.size(symbols) >= 2, F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), symbols, turn)).otherwise(F.transform(symbols, lambda x: F.pmod(x + 1 + noise(F.sha2(F.concat_ws(",", F.lit(key), kind, F.lit("1")), 512), F.lit(0), radix - 1), radix)))
 
 
 def luhn_sum(digits: Column, shift: int) -> Column:
@@ -83,11 +83,24 @@ def simple(text: Column, radix: int, kind: str, key: str) -> Column:
 
 
 def card(text: Column, key: str) -> Column:
-    def turned(own: Column) -> Column:
+    """A valid number's pseudonym; where the whole is none, that of the longest (then first) valid run of its parts."""
+
+    def turned(text: Column, own: Column) -> Column:
         body = F.slice(own, 1, F.size(own) - 1)
         return bound(feistel(body, F.lit(10), F.lit("card"), key), lambda b: refill(text, F.concat(b, F.array(F.pmod(10 - luhn_sum(b, 1) % 10, F.lit(10)))), 10))
 
-    return bound(digits(text, 10), lambda own: F.when(luhn_sum(own, 0) % 10 == 0, turned(own)).otherwise(text))
+    def within(parts: Column) -> Column:
+        n = F.size(parts)
+
+        def run(i: Column, j: Column) -> Column:
+            start = F.length(F.array_join(F.slice(parts, F.lit(1), i), "-")) + F.when(i > 0, 1).otherwise(0)
+            return F.struct((-F.length(F.array_join(F.slice(parts, i + 1, j - i + 1), ""))).alias("n"), start.alias("start"), F.length(F.array_join(F.slice(parts, i + 1, j - i + 1), "-")).alias("size"))
+
+        runs = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(i, n - 1), lambda j: run(i, j))))
+        valid = F.filter(F.filter(runs, lambda r: r["n"] <= -13), lambda r: luhn_sum(digits(F.substring(text, r["start"] + 1, r["size"]), 10), 0) % 10 == 0)
+        return bound(F.array_min(valid), lambda r: F.when(r.isNull(), text).otherwise(F.concat(F.substring(text, F.lit(1), r["start"]), bound(F.substring(text, r["start"] + 1, r["size"]), lambda t: turned(t, digits(t, 10))), F.substring(text, r["start"] + r["size"] + 1, F.length(text)))))
+
+    return bound(digits(text, 10), lambda own: F.when(luhn_sum(own, 0) % 10 == 0, turned(text, own)).otherwise(bound(F.split(text, "[ -]"), within)))
 
 
 def address(text: Column, key: str) -> Column:

@@ -206,6 +206,15 @@ def test_pseudonyms(spark, odd, none):
     assert other.columns == odd.columns and other.count() == len(ODD) and pii.pseudonymise(none).count() == 0
 
 
+def test_cards_beside_numbers_and_short_addresses(spark):
+    texts = ["4111 1111 1111 1111 123", "4111 1111 1111 1111 08/27", "card 1 4111111111111111", "card 4111 1111 1111 1111", "j@example.com", "4111 1111 1111 1112 123"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in pii.pseudonymise(d).orderBy("doc_id").collect()]
+    number = out[3][5:]
+    assert number != "4111 1111 1111 1111" and out[:3] == [number + " 123", number + " 08/27", "card 1 " + number.replace(" ", "")]
+    assert re.fullmatch(r"[0-9a-z]@example\.com", out[4]) and out[4] != texts[4] and out[5] == texts[5]
+
+
 def test_feistel_permutes(spark):
     """All two-digit lists have different images, and so have all days of some years."""
     d = spark.range(100).select(pii.feistel(F.array((F.col("id") / 10).cast("int"), (F.col("id") % 10).cast("int")), F.lit(10), F.lit("t"), "k").alias("x"))
