@@ -6,7 +6,9 @@ for little. Consistent weighted sampling draws, with SAMPLES hash functions, one
 proportion to its weight, equal for two documents with the probability of their weighted Jaccard similarity. BANDS of
 ROWS samples make bucket keys. Documents of a bucket are compared with leaders of the bucket (its first and last, and
 the first of each of SUBS seeded parts), and linked if the weighted or the plain Jaccard similarity of the full shingle
-sets is at least LEAST; the plain one is there so that the weighting never undoes a link. Buckets whose documents are
+sets is at least LEAST. The plain one accepts more pairs of a bucket, but buckets come from weighted samples only: a pair
+that is near by the plain measure and far by the weighted one (a line repeated many times in one text) is seldom in
+one, and is then not linked. Buckets whose documents are
 still in several classes go round again with other leaders, until a round finds no link (at most ROUNDS). This only
 saves work: in buckets that are still open then, every document outside the bucket's largest class is compared with
 every document of another class, in blocks of GROUP by GROUP documents that are dealt out. So each pair that shares a
