@@ -171,7 +171,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     asked = b0.mapInArrow(ask_words, "p int, block string, words binary, counts binary").repartition(parts, "p")
     replies = keep.keep(asked.groupBy("p").applyInArrow(answer_words, "block string, p int, ids binary, counts binary, stats array<long>"), "words")
     stats = np.array([r.stats for r in replies.filter("block is null").select("stats").collect()]).sum(0)  # a row for each part
-    keep.free()
     types, seen_n = int(stats[0]), [int(x) for x in stats[1 : LARGE + 2]]
     d1 = discounts(seen_n)
     kept = sum(d1[r] * r * seen_n[r - 1] for r in range(1, LARGE + 1)) + (train_tokens - sum(r * seen_n[r - 1] for r in range(1, LARGE + 1)))
@@ -200,8 +199,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                 yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("block", "doc_ids", "held", "stream", "ends")} | {"ids": put(ids), "counts": put(counts)}], pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("ends", pa.binary())]))
 
     b1 = keep.keep(joined.mapInArrow(number, lean), "numbered")
-    keep.drop("blocks")
-    keep.drop("words")
+    keep.drop("blocks", "words")
 
     def pairs(row: dict):
         """Distinct (history, word) pairs in local numbers, packed; the pair of each token; ids; counts."""
@@ -259,7 +257,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     asked = b1.mapInArrow(ask_pairs, "p int, block string, h binary, many binary, w binary, wc binary, n binary").repartition(parts, "p")
     replies = keep.keep(asked.groupBy("p").applyInArrow(answer_pairs, "block string, p int, count binary, t binary, q binary, few binary, stats array<long>"), "pairs")
     d2 = discounts([int(x) for x in np.array([r.stats for r in replies.filter("block is null").select("stats").collect()]).sum(0)])
-    keep.free()
     listed = replies.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "count", "t", "q", "few"))).alias("replies"))
 
     def evaluate(batches):

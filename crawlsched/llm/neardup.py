@@ -1,35 +1,40 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-A document is the multiset of its five-word shingles. A shingle's weight is its count in the document times an inverse
-document frequency that is 1 up to COMMON of all documents and falls as log(N / df) above, so that boilerplate counts
-for little. Consistent weighted sampling draws, with SAMPLES hash functions, one shingle each with probability in
-proportion to its weight, equal for two documents with the probability of their weighted Jaccard similarity. BANDS of
-ROWS samples make bucket keys. Documents of a bucket are compared with leaders of the bucket (its first and last, and
-the first of each of SUBS seeded parts), and linked if the weighted or the plain Jaccard similarity of the full shingle
-sets is at least LEAST. The plain one accepts more pairs of a bucket, but buckets come from weighted samples only: a pair
-that is near by the plain measure and far by the weighted one (a line repeated many times in one text) is seldom in
-one, and is then not linked. Buckets whose documents are
-still in several classes go round again with other leaders, until a round finds no link (at most ROUNDS). This only
-saves work: in buckets that are still open then, every document outside the bucket's largest class is compared with
-every document of another class, in blocks of GROUP by GROUP documents that are dealt out. So each pair that shares a
-bucket is compared or is of one class already. Classes are the connected components.
+A document is the multiset of its five-word shingles. A shingle weighs its count in the document times an inverse
+document frequency, FLOOR + (1 - FLOOR) log(N / df) / log(1 / COMMON), which is 1 for shingles in at most COMMON of all
+documents and falls with every document more. The constant part is there as a plain log(N / df) undoes large groups
+of near copies: their common shingles would be worth next to nothing, so that nothing but their differences counts.
+
+Consistent weighted sampling draws, with SAMPLES hash functions, one shingle each with probability in proportion to its
+weight, equal for two documents with the probability of their weighted Jaccard similarity. BANDS of ROWS samples make
+bucket keys. Two documents of a bucket are linked if the weighted Jaccard similarity of their whole shingle multisets
+is at least LEAST. First come leaders: the first and the last document of each part of PART in a bucket, and across
+parts the first of the bucket. Buckets that are still in several classes go round again with other leaders, until a
+round finds no link (at most ROUNDS). That only saves work: in buckets that are open then, every document outside
+the bucket's largest class is compared with every document of another class, in blocks of GROUP by GROUP documents
+that are dealt out. So each pair that shares a bucket is compared or is of one class already. Classes are the connected
+components of the links.
 
 Which shingles are common is exact: pass one adds up counts in a table of BUCKETS cells (a fixed size); a shingle above
 COMMON lies in a cell above it; pass two counts just the shingles in such cells. Their number is at most 1 / COMMON
 times the mean length of a document, whatever the corpus; only they are sent to all executors.
 
-Equal texts are one node from the start, so groups of copies cost one comparison each.
+Equal texts are one node from the start, so groups of copies cost one comparison each. A node is a 64-bit hash of the
+text; a second hash shows where different texts share one, and these few get other numbers. Large buckets are
+known by their count (at most 2**20 of them, whatever the corpus) and cut into parts of PART, so no bucket is one
+task's. Classes and leaders with very many links lie on one side of plain joins, which adaptive execution splits.
 
 Defined cases: a null text is a class of its own; equal texts (empty ones too) are one class; texts of one to four
 words have one shingle; texts without words are near no other text; repeated rows are copies; a class is named by its
-smallest identifier; a null identifier gets the class of its text, or null if nothing else is in it.
+smallest identifier; a null identifier gets the class of its text, or null if nothing else is in it; other columns
+play no part, and keep their values whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsched.llm.shared import Scratch
@@ -41,7 +46,7 @@ BANDS, ROWS = 14, 3
 SAMPLES = BANDS * ROWS
 COMMON = 0.01
 BUCKETS = 1 << 18
-SUBS = 8
+PART = 1024
 ROUNDS = 3
 GROUP = 128
 BROADCAST_NODES = 1 << 20
@@ -54,6 +59,7 @@ _FLAT = (_R * (1 - _BETA)).astype(np.float32)
 _U24 = np.uint64((1 << 24) - 1)
 _MIXERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 FLOOR = 0.6
+_HIDDEN = "__neardup_"
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,14 +136,14 @@ def keys(signature: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], common) -> tuple[float, float]:
-    """Weighted and plain Jaccard similarity of two (hash, count)."""
+def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], common) -> float:
+    """Weighted Jaccard similarity of two (hash, count)."""
     if not len(a[0]) or not len(b[0]):
-        return 0.0, 0.0
+        return 0.0
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     wa, wb = weights(*a, common), weights(*b, common)
     both = np.minimum(wa[i], wb[j]).sum()
-    return both / (wa.sum() + wb.sum() - both), len(i) / (len(a[0]) + len(b[0]) - len(i))
+    return both / (wa.sum() + wb.sum() - both)
 
 
 def block_links(table: pa.Table, common) -> list[tuple[int, int, float]]:
@@ -166,8 +172,7 @@ def block_links(table: pa.Table, common) -> list[tuple[int, int, float]]:
         other = (comp[n:] != comp[i]) & (~rest[n:] | (node[n:] > node[i]))
         for k in own[at[i] : at[i + 1]].tolist():
             other[by_key.get(k, [])] = False
-        a, b = size[i], size[n:]
-        other &= (np.minimum(a, b) >= (LEAST - 1e-9) * np.maximum(a, b)) | (np.minimum(heavy[i], heavy[n:]) >= (LEAST - 1e-9) * np.maximum(heavy[i], heavy[n:]))
+        other &= np.minimum(heavy[i], heavy[n:]) >= (LEAST - 1e-9) * np.maximum(heavy[i], heavy[n:])
         j = np.flatnonzero(other) + n
         if not len(j):
             continue
@@ -175,11 +180,10 @@ def block_links(table: pa.Table, common) -> list[tuple[int, int, float]]:
         held[word[mine]] = w[mine]
         begin = np.concatenate(([0], np.cumsum(size[j])[:-1]))
         pick = np.repeat(cut[j] - begin, size[j]) + np.arange(size[j].sum())
-        found = held[word[pick]]
-        both, shared = np.add.reduceat(np.minimum(found, w[pick]), begin), np.add.reduceat((found > 0).astype(np.int64), begin)
+        both = np.add.reduceat(np.minimum(held[word[pick]], w[pick]), begin)
         held[word[mine]] = 0
         weighted = both / (heavy[i] + heavy[j] - both)
-        near = np.flatnonzero(np.maximum(weighted, shared / (a + size[j] - shared)) >= LEAST)
+        near = np.flatnonzero(weighted >= LEAST)
         for x in near:
             if comp[j[x]] != comp[i]:
                 out.append((int(min(node[i], node[j[x]])), int(max(node[i], node[j[x]])), float(weighted[x])))
@@ -232,7 +236,7 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     s = np.array([r.s for r in found], np.int64).view(np.uint64)
     df = np.array([r.n for r in found], float)
     order = np.argsort(s)
-    return s[order], np.maximum(FLOOR, np.log(n / df[order]) / np.log(1 / COMMON))
+    return s[order], FLOOR + (1 - FLOOR) * np.minimum(1.0, np.log(n / df[order]) / np.log(1 / COMMON))
 
 
 def components(edges: DataFrame, keep: Scratch, name: str) -> DataFrame:
@@ -245,16 +249,21 @@ def components(edges: DataFrame, keep: Scratch, name: str) -> DataFrame:
         up = label.select(F.col("node").alias("low"), F.col("comp").alias("up"))
         new = low.join(up, "low", "left").select("node", F.least("low", F.coalesce("up", "low")).alias("comp"), (F.least("low", F.coalesce("up", "low")) != F.col("comp")).alias("moved"))
         label = keep.keep(new, f"{name}-{k}")
+        keep.drop(f"{name}-{k - 1}")
         if not label.filter("moved").limit(1).count():
-            break
-    return label.select("node", "comp")
+            return label.select("node", "comp")
+    raise RuntimeError("connected components have not settled")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, class_id, node (the text's hash), comp (the class's smallest node) for every row."""
+    """doc_id, class_id, node (the text's number), comp (the class's smallest node) for every row."""
+    return _classes(docs, doc_id, text)[0]
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[int]]:
+    """The table of ``classes``, and the numbers that more than one text had."""
     spark, keep = docs.sparkSession, Scratch(docs.sparkSession, "neardup")
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = d.select("doc_id", "text", F.xxhash64(F.lit(7), "text").alias("node"))
     n = d.filter("text is not null").count()
     common = common_shingles(d.select("text").filter("text is not null"), max(n, 1))
     sent = spark.sparkContext.broadcast(common)
@@ -263,18 +272,31 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                row, s, count = shingles(part.column(1))
+                row, s, count = shingles(part.column(3))
                 found, sig = signatures(row, s, weights(s, count, sent.value))
                 k: list = [None] * part.num_rows
                 for r, x in zip(found, keys(sig), strict=True):
                     k[r] = x
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(k, pa.list_(pa.int64()))], names=["doc_id", "node", "keys"])
-
-    signed = rows.filter("text is not null").select("doc_id", "text", "node").mapInArrow(sign, "doc_id long, node long, keys array<long>")
-    nodes = keep.keep(signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "nodes")
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(k, pa.list_(pa.int64()))], names=["doc_id", "node", "other", "keys"])
+
+    shared: list[int] = []
+    while True:
+        rows = d.select("doc_id", "text", number(F.col("text"), shared).alias("node"))
+        signed = rows.filter("text is not null").select("doc_id", "node", F.xxhash64(F.lit(8), "text").alias("other"), "text").mapInArrow(sign, "doc_id long, node long, other long, keys array<long>")
+        nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), (F.min("other") != F.max("other")).alias("twin"))
+        nodes = keep.keep(nodes, f"nodes-{len(shared)}")
+        twins = [r.node for r in nodes.filter("twin").select("node").collect()]  # about n**2 / 2**65 of n texts
+        if not twins:
+            break
+        shared += twins
     banded = nodes.select("node", F.explode("keys").alias("key"))
-    size = banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    banded = keep.keep(banded.join(size, "key", "left_semi"), "banded")
+    size = keep.keep(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+    # At most 2**20 buckets have over 1 / 2**20 of the rows; only they are cut into parts.
+    large = max(PART, nodes.count() * BANDS >> 20)
+    hot = size.filter(F.col("n") > large).select("key", F.ceil(F.col("n") / PART).cast("int").alias("subs"))
+    banded = banded.join(F.broadcast(hot), "key", "left")
+    few = banded.filter("subs is null").drop("subs").join(size.filter(F.col("n") <= large), "key", "left_semi").withColumn("subs", F.lit(1))
+    banded = keep.keep(banded.filter("subs is not null").select("node", "key", "subs").unionByName(few.select("node", "key", "subs")), "banded")
 
     def check(batches):
         for b in batches:
@@ -286,38 +308,45 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                     cut = np.searchsorted(row, np.arange(part.num_rows + 1))
                     sets.append([(s[x:y], count[x:y]) for x, y in zip(cut, cut[1:], strict=False)])
                 sim = [similarity(x, y, sent.value) for x, y in zip(*sets, strict=True)]
-                ok = [i for i, x in enumerate(sim) if max(x) >= LEAST]
-                yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(ok, pa.int64())), part.column("b").take(pa.array(ok, pa.int64())), pa.array([sim[i][0] for i in ok], pa.float64())], names=["a", "b", "similarity"])
+                ok = [i for i, x in enumerate(sim) if x >= LEAST]
+                yield pa.RecordBatch.from_arrays([part.column("a").take(pa.array(ok, pa.int64())), part.column("b").take(pa.array(ok, pa.int64())), pa.array([sim[i] for i in ok], pa.float64())], names=["a", "b", "similarity"])
 
     def among(df: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
         """Rows of ``df`` with one of ``nodes``, which are broadcast while there are few."""
         nodes = keep.keep(nodes, name)
         return df.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi")
 
+    def parted(df: DataFrame, seed: int) -> DataFrame:
+        return df.withColumn("sub", F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("subs")).cast("int"))
+
+    def every_part(df: DataFrame) -> DataFrame:
+        """A row of each part of a bucket for each bucket."""
+        return df.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs")
+
     # Only texts that share a bucket are ever compared; they are put aside once, one for each node.
     texts = among(rows.filter("text is not null").select("node", "text"), banded.select("node").distinct(), "candidates")
     texts = keep.keep(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
-    keep.free()
     links, label = None, None
     for turn in range(ROUNDS + 1):
-        # Leaders of a bucket, by a seeded order; counted in parts first, so that a large bucket is no single task's.
+        # Leaders by a seeded order: of each part, and the first of the bucket for the leaders of its parts.
         order = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), F.col("node"))
         now = banded if label is None else banded.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        now = now.withColumn("sub", F.pmod(F.xxhash64(F.lit(100 + turn), "node"), F.lit(SUBS)))
+        now = parted(now, 100 + turn)
         if label is not None:
-            mixed = now.groupBy("key").agg((F.min("comp") != F.max("comp")).alias("open")).filter("open")
-            now = now.join(mixed, "key", "left_semi")
+            mixed = now.groupBy("key", "sub", "subs").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).groupBy("key", "subs").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo != hi")
+            now = now.join(every_part(mixed.select("key", "subs")), ["key", "sub"], "left_semi")
         sub = now.groupBy("key", "sub").agg(F.min(F.struct(order.alias("o"), "node")).alias("low"), F.max(F.struct(order.alias("o"), "node")).alias("high"))
-        whole = sub.groupBy("key").agg(F.min("low")["node"].alias("l"), F.max("high")["node"].alias("h"))
-        leaders = sub.select("key", "sub", F.col("low")["node"].alias("s")).join(whole, "key").select("key", "sub", F.array_distinct(F.array("l", "h", "s")).alias("to"))
-        edges = now.join(leaders, ["key", "sub"]).select("node", *(["comp"] if label is not None else []), F.explode("to").alias("to")).filter("node != to")
+        whole = sub.groupBy("key").agg(F.min("low")["node"].alias("head"))
+        leaders = sub.join(whole, "key").select("key", "sub", F.col("low")["node"].alias("l"), F.col("high")["node"].alias("h"), "head")
+        lead = F.when(F.col("node").isin(F.col("l"), F.col("h")), F.array("l", "h", "head")).otherwise(F.array("l", "h"))
+        edges = now.join(leaders, ["key", "sub"]).select("node", *(["comp"] if label is not None else []), F.explode(F.array_distinct(lead)).alias("to")).filter("node != to")
         if label is not None:
             edges = edges.join(label.select(F.col("node").alias("to"), F.col("comp").alias("to_comp")), "to", "left").filter(F.col("comp") != F.coalesce("to_comp", "to"))
         pairs = keep.keep(edges.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), f"pairs-{turn}")
         used = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"wanted-{turn}")
         joined = pairs.join(used.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
         found = keep.keep(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, similarity double"), f"links-{turn}")
-        keep.drop(f"wanted-{turn}")
+        keep.drop(f"wanted-{turn}", f"pairs-{turn}")
         if not found.limit(1).count():
             break
         links = found if links is None else links.unionByName(found)
@@ -325,10 +354,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     # What the leaders left open, whole: (outside the largest class) x (all) of each bucket. Buckets of up to three were
     # compared whole in the first round.
     now = banded.withColumn("comp", F.col("node")) if label is None else banded.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    now = keep.keep(now, "now")
-    per = now.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("big"), F.sum("m").alias("m"))
-    per = per.filter("m > 3 and big.m < m").select("key", F.col("big")["comp"].alias("big"), F.ceil((F.col("m") - F.col("big")["m"]) / GROUP).cast("int").alias("na"), F.ceil(F.col("m") / GROUP).cast("int").alias("nb"))
-    left = keep.keep(now.join(per, "key").withColumn("rest", F.col("comp") != F.col("big")), "left")
+    now = keep.keep(parted(now, 100), "now")
+    per = now.groupBy("key", "subs", "comp").agg(F.count("*").alias("m")).groupBy("key", "subs").agg(F.max(F.struct("m", "comp")).alias("big"), F.sum("m").alias("m"))
+    per = per.filter("m > 3 and big.m < m").select("key", "subs", F.col("big")["comp"].alias("big"), F.ceil((F.col("m") - F.col("big")["m"]) / GROUP).cast("int").alias("na"), F.ceil(F.col("m") / GROUP).cast("int").alias("nb"))
+    left = keep.keep(now.drop("subs").join(every_part(per), ["key", "sub"]).withColumn("rest", F.col("comp") != F.col("big")), "left")
     if left.limit(1).count():
         deal = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n)).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -346,6 +375,8 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             label = keep.keep(components(links, keep, "comp-left"), "label-left")
+        keep.drop("wanted-left", "used", "left")
+    keep.drop("texts", "candidates", "banded", "now", "sizes")
     first = nodes.select("node", "first")
     if label is None:
         named = first.select("node", F.col("first").alias("class_id"), F.col("node").alias("comp"))
@@ -353,21 +384,30 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
         labelled = first.join(label, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         name = labelled.groupBy("comp").agg(F.min("first").alias("class_id"))
         named = labelled.join(name, "comp").select("node", "class_id", "comp")
-    rows = d.select("doc_id", F.when(F.col("text").isNotNull(), F.xxhash64(F.lit(7), "text")).alias("node"))
-    return rows.join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "node", "comp")
+    rows = d.select("doc_id", number(F.col("text"), shared).alias("node"))
+    return rows.join(named, "node", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "node", "comp"), shared
+
+
+def number(text: Column, shared: list[int]) -> Column:
+    """The number of a text (null for null): a hash, or another one where ``shared`` has the first."""
+    h = F.xxhash64(F.lit(7), text)
+    if shared:
+        h = F.when(h.isin(shared), F.xxhash64(F.lit(9), text)).otherwise(h)
+    return F.when(text.isNotNull(), h)
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of ``docs`` for each class, that of its smallest identifier (rows without one come last); every row with
     a null text stays."""
     keep = Scratch(docs.sparkSession, "representatives")
-    none = F.lit(-(2**63)).cast("long")
-    order = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", none).alias("_id"), "node")
-    found = keep.keep(classes(docs, doc_id, text).filter("node is not null").groupBy("comp").agg(F.min(order).alias("m"), F.count("*").alias("n")).select("m.*", "n"), "kept")
-    d = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), none)).withColumn("_node", F.xxhash64(F.lit(7), F.col(text).cast("string")))
+    none, i_, n_ = F.lit(-(2**63)).cast("long"), f"{_HIDDEN}id", f"{_HIDDEN}node"
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.coalesce("doc_id", none).alias(i_), F.col("node").alias(n_))
+    found, shared = _classes(docs, doc_id, text)
+    found = keep.keep(found.filter("node is not null").groupBy("comp").agg(F.min(order).alias("m")).select(f"m.{i_}", f"m.{n_}"), "kept")
+    d = docs.withColumn(i_, F.coalesce(F.col(doc_id).cast("long"), none)).withColumn(n_, number(F.col(text).cast("string"), shared))
     named = d.filter(F.col(text).isNotNull())
     # Rows repeated under one identifier (rare) are reduced within each task first, then by key.
-    if found.join(named.groupBy("_id", "_node").agg(F.count("*").alias("k")).filter("k > 1").select("_id", F.col("_node").alias("node")), ["_id", "node"], "left_semi").limit(1).count():
-        named = named.dropDuplicates(["_id", "_node"])
-    picked = named.join(found.select("_id", F.col("node").alias("_node")), ["_id", "_node"], "left_semi")
+    if found.join(named.groupBy(i_, n_).agg(F.count("*").alias("k")).filter("k > 1").select(i_, n_), [i_, n_], "left_semi").limit(1).count():
+        named = named.dropDuplicates([i_, n_])
+    picked = named.join(found, [i_, n_], "left_semi")
     return picked.unionByName(d.filter(F.col(text).isNull())).select(*docs.columns)

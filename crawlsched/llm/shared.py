@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,30 +29,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """A place for the intermediate tables of one run, each written once and read back; this cuts the lineage, so that
-    a lost executor costs one stage and not the whole run."""
+    a lost executor costs one stage and not the whole run. The shuffles behind a table go as soon as it is written, the
+    tables go with ``drop``, ``clear`` or the end of the application."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/crawlsched/{name}-{uuid.uuid4().hex}"
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._fs.mkdirs(self._path(self.path))
+        self._fs.deleteOnExit(self._path(self.path))
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        before = self.spark.conf.get(CLEANUP)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
-        """For a table that nothing to come reads."""
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-        self.free()
-
-    def free(self) -> None:
-        """Let go of the shuffles behind tables that are written. To be called once a later query has run: the plan of
-        the last one is still held. Spark's cleaner works on its own, so it is given a moment."""
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.3)
+    def drop(self, *names: str) -> None:
+        """For tables that nothing to come reads."""
+        for name in names:
+            self._fs.delete(self._path(f"{self.path}/{name}"), True)
+
+    def clear(self) -> None:
+        """For a run whose result was written elsewhere."""
+        self._fs.delete(self._path(self.path), True)
 
 
 def fold(doc_id: Column, n: int) -> Column:
