@@ -11,7 +11,9 @@ are all undiscounted gives up one half of a count.
 Tables are partitioned by the hash of the word or history. Blocks of documents keep their tokens as numbers into their
 own word list; for each partition a block sends its words or pairs once, with training counts, the owner of the
 partition adds up the counts of all blocks, and sends back what the block asked for. So what travels grows with the
-corpus's distinct pairs per block, a frequent word or pair costs one entry per block, and nothing is broadcast.
+corpus's distinct pairs per block, and a frequent word or pair costs one entry per block. Pairs of a history with more
+than ``hot`` tokens (at least 1 / 2**16 of all, so there are at most 2**16 such histories) are dealt over several
+partitions by their second word; the partial sums of these histories are added up on the driver and sent to all.
 
 Defined cases: null text is empty and consists of the end token; the history of a first word is the end token; repeated
 rows count and score as often as they stand; null identifiers belong to the fold of the empty text; an empty table
@@ -35,6 +37,7 @@ from crawlsched.llm.textarrays import buffers, mix, runs, words
 LARGE = 5
 BLOCK_TOKENS = 1 << 20
 PART_TOKENS = 3_000_000
+HOT_TOKENS = PART_TOKENS // 8
 END = np.uint64(1)
 SHIFT = 40
 ADD = 0.1
@@ -137,7 +140,7 @@ def split(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 10, hot_tokens: int = HOT_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both in log10)."""
     spark, keep = docs.sparkSession, Scratch(docs.sparkSession, "katz")
     b0 = keep.keep(blocks(docs, doc_id, text, folds), "blocks")
@@ -146,13 +149,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     if not total:
         return spark.createDataFrame([], out_schema)
     parts = max(16, -(-total // PART_TOKENS))
+    hot = max(hot_tokens, total >> 16)
 
     # Words: each block asks the owner of a hash for the corpus count and the number of the word.
     def ask_words(batches):
         for b in batches:
             for row in b.to_pylist():
                 vocab, stream = np.frombuffer(row["vocab"], np.uint64), take(row["stream"], np.uint32)
-                count = np.bincount(stream[trained(row)], minlength=len(vocab)).astype(np.uint32)
+                count = np.bincount(stream[trained(row)], minlength=len(vocab)).astype(np.uint64)
                 order, at = split(owner(vocab, parts), parts)
                 rows = [(p, row["block"], put(vocab[order[at[p] : at[p + 1]]]), put(count[order[at[p] : at[p + 1]]])) for p in range(parts) if at[p] < at[p + 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["p", "block", "words", "counts"])
@@ -161,9 +165,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         rows = table.to_pylist()
         asked = [take(r["words"], np.uint64) for r in rows]
         word, inverse = np.unique(np.concatenate(asked), return_inverse=True)
-        count = np.bincount(inverse, weights=np.concatenate([take(r["counts"], np.uint32) for r in rows])).astype(np.int64)
+        count = np.bincount(inverse, weights=np.concatenate([take(r["counts"], np.uint64) for r in rows])).astype(np.int64)
         stops = np.cumsum([len(a) for a in asked])
-        out = [{"block": r["block"], "p": r["p"], "ids": put(i.astype(np.uint32)), "counts": put(count[i].astype(np.uint32)), "stats": None} for r, i in zip(rows, np.split(inverse, stops[:-1]), strict=True)]
+        out = [{"block": r["block"], "p": r["p"], "ids": put(i.astype(np.uint32)), "counts": put(count[i].astype(np.uint64)), "stats": None} for r, i in zip(rows, np.split(inverse, stops[:-1]), strict=True)]
         exact = [int((count == r).sum()) for r in range(1, LARGE + 2)]
         out.append({"block": None, "p": rows[0]["p"], "ids": None, "counts": None, "stats": [int((count > 0).sum()), *exact, *(int(count[count == r].sum()) for r in range(1, LARGE + 1))]})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.string()), ("p", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]))
@@ -191,11 +195,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             for row in b.to_pylist():
                 vocab = np.frombuffer(row["vocab"], np.uint64)
                 order, at = split(owner(vocab, parts), parts)
-                ids, counts = np.empty(len(vocab), np.int64), np.empty(len(vocab), np.uint32)
+                ids, counts = np.empty(len(vocab), np.int64), np.empty(len(vocab), np.uint64)
                 for r in row["replies"]:
                     own = order[at[r["p"]] : at[r["p"] + 1]]
                     ids[own] = take(r["ids"], np.uint32).astype(np.int64) + (r["p"] << SHIFT)
-                    counts[own] = take(r["counts"], np.uint32)
+                    counts[own] = take(r["counts"], np.uint64)
                 yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("block", "doc_ids", "held", "stream", "ends")} | {"ids": put(ids), "counts": put(counts)}], pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("ends", pa.binary())]))
 
     b1 = keep.keep(joined.mapInArrow(number, lean), "numbered")
@@ -203,7 +207,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
 
     def pairs(row: dict):
         """Distinct (history, word) pairs in local numbers, packed; the pair of each token; ids; counts."""
-        ids, counts, stream = take(row["ids"], np.int64), take(row["counts"], np.uint32), take(row["stream"], np.uint32).astype(np.uint64)
+        ids, counts, stream = take(row["ids"], np.int64), take(row["counts"], np.uint64).astype(np.int64), take(row["stream"], np.uint32).astype(np.uint64)
         starts = np.concatenate(([0], take(row["ends"], np.int64)[:-1]))
         history = np.empty_like(stream)
         history[1:] = stream[:-1]
@@ -211,20 +215,26 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         pair, inverse = np.unique(history << np.uint64(32) | stream, return_inverse=True)
         return pair, inverse, ids, counts, stream
 
+    def dealt(h: np.ndarray, w: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """An order of a block's pairs by partition, and where each begins; frequent histories are cut by second word."""
+        cuts = np.maximum(-(-counts // hot), 1)[h].astype(np.uint64)
+        number = ids.astype(np.uint64)
+        return split(owner(mix(number[h] + (mix(number)[w] % cuts << np.uint64(55))), parts), parts)
+
     def ask_pairs(batches):
         for b in batches:
             for row in b.to_pylist():
                 pair, inverse, ids, counts, _ = pairs(row)
-                n = np.bincount(inverse[trained(row)], minlength=len(pair)).astype(np.uint32)
+                n = np.bincount(inverse[trained(row)], minlength=len(pair)).astype(np.uint64)
                 h, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                order, at = split(owner(mix(ids.astype(np.uint64))[h], parts), parts)
+                order, at = dealt(h, w, ids, counts)
                 rows = []
                 for p in range(parts):
                     own = order[at[p] : at[p + 1]]
                     if len(own):
                         first = runs(h[own])
-                        rows.append((p, row["block"], put(ids[h[own[first]]]), put(np.diff(first, append=len(own)).astype(np.uint32)), put(ids[w[own]]), put(counts[w[own]]), put(n[own])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), *[pa.binary()] * 5), strict=True)], names=["p", "block", "h", "many", "w", "wc", "n"])
+                        rows.append((p, row["block"], put(ids[h[own[first]]]), put(np.diff(first, append=len(own)).astype(np.uint32)), put(ids[w[own]]), put(counts[w[own]]), put(n[own]), put((counts[h[own[first]]] > hot))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.string(), *[pa.binary()] * 6), strict=True)], names=["p", "block", "h", "many", "w", "wc", "n", "hot"])
 
     def answer_pairs(table: pa.Table) -> pa.Table:
         rows = [{k: v.as_py() for k, v in zip(table.column_names, x, strict=True)} for x in zip(*table.columns, strict=True)]
@@ -232,8 +242,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         hist, hi = np.unique(np.concatenate(hs), return_inverse=True)
         pair_h = np.concatenate([np.repeat(i, m) for i, m in zip(np.split(hi, np.cumsum([len(x) for x in hs])[:-1]), many, strict=True)])
         w = np.concatenate([take(r["w"], np.int64) for r in rows])
-        wc = np.concatenate([take(r["wc"], np.uint32) for r in rows])
-        n = np.concatenate([take(r["n"], np.uint32) for r in rows])
+        wc = np.concatenate([take(r["wc"], np.int64) for r in rows])
+        n = np.concatenate([take(r["n"], np.uint64) for r in rows])
         order = np.lexsort((w, pair_h))
         new = np.concatenate(([True], (pair_h[order][1:] != pair_h[order][:-1]) | (w[order][1:] != w[order][:-1])))
         group = np.cumsum(new) - 1
@@ -242,21 +252,31 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         gh, seen = pair_h[first], c > 0
         per = len(hist)
         t = np.bincount(gh, weights=c, minlength=per)
-        q = np.bincount(gh[seen], weights=unigram(wc[first][seen].astype(np.int64)), minlength=per)
+        q = np.bincount(gh[seen], weights=unigram(wc[first][seen]), minlength=per)
         few = np.stack([np.bincount(gh[c == r], minlength=per) for r in range(1, LARGE + 1)])
-        count = np.empty(len(w), np.uint32)
+        count = np.empty(len(w), np.uint64)
         count[order] = c[group]
         out, at_h, at_w = [], 0, 0
         for r, x in zip(rows, hs, strict=True):
             k, i = int(many[len(out)].sum()), hi[at_h : at_h + len(x)]
-            out.append({"block": r["block"], "p": r["p"], "count": put(count[at_w : at_w + k]), "t": put(t[i].astype(np.uint32)), "q": put(q[i]), "few": put(few[:, i].astype(np.uint32)), "stats": None})
+            out.append({"block": r["block"], "p": r["p"], "count": put(count[at_w : at_w + k]), "t": put(t[i].astype(np.uint64)), "q": put(q[i]), "few": put(few[:, i].astype(np.uint64)), "stats": None, "hot": None})
             at_h, at_w = at_h + len(x), at_w + k
-        out.append({"block": None, "p": rows[0]["p"], "count": None, "t": None, "q": None, "few": None, "stats": [int((c == r).sum()) for r in range(1, LARGE + 2)]})
-        return pa.Table.from_pylist(out, pa.schema([("block", pa.string()), ("p", pa.int32()), *[(k, pa.binary()) for k in ("count", "t", "q", "few")], ("stats", pa.list_(pa.int64()))]))
-
-    asked = b1.mapInArrow(ask_pairs, "p int, block string, h binary, many binary, w binary, wc binary, n binary").repartition(parts, "p")
-    replies = keep.keep(asked.groupBy("p").applyInArrow(answer_pairs, "block string, p int, count binary, t binary, q binary, few binary, stats array<long>"), "pairs")
-    d2 = discounts([int(x) for x in np.array([r.stats for r in replies.filter("block is null").select("stats").collect()]).sum(0)])
+        frequent = np.unique(hi[np.concatenate([take(r["hot"], bool) for r in rows])])
+        sums = [{"h": int(hist[i]), "t": int(t[i]), "q": float(q[i]), "few": few[:, i].tolist()} for i in frequent]
+        out.append({"block": None, "p": rows[0]["p"], "count": None, "t": None, "q": None, "few": None, "stats": [int((c == r).sum()) for r in range(1, LARGE + 2)], "hot": sums})
+        kinds = [("block", pa.string()), ("p", pa.int32()), *[(k, pa.binary()) for k in ("count", "t", "q", "few")], ("stats", pa.list_(pa.int64())), ("hot", pa.list_(pa.struct([("h", pa.int64()), ("t", pa.int64()), ("q", pa.float64()), ("few", pa.list_(pa.int64()))])))]
+        return pa.Table.from_pylist(out, pa.schema(kinds))
+
+    asked = b1.mapInArrow(ask_pairs, "p int, block string, h binary, many binary, w binary, wc binary, n binary, hot binary").repartition(parts, "p")
+    replies = keep.keep(asked.groupBy("p").applyInArrow(answer_pairs, "block string, p int, count binary, t binary, q binary, few binary, stats array<long>, hot array<struct<h:long,t:long,q:double,few:array<long>>>"), "pairs")
+    sums = replies.filter("block is null").select("p", "stats", "hot").orderBy("p").collect()  # a row for each part
+    d2 = discounts([int(x) for x in np.array([r.stats for r in sums]).sum(0)])
+    whole: dict[int, np.ndarray] = {}
+    for r in sums:
+        for x in r.hot:
+            whole[x.h] = whole.get(x.h, 0) + np.array([x.t, x.q, *x.few], float)
+    named = np.array(sorted(whole), np.int64)
+    frequent = spark.sparkContext.broadcast((named, np.array([whole[h] for h in named.tolist()]).reshape(len(named), 2 + LARGE)))
     listed = replies.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "count", "t", "q", "few"))).alias("replies"))
 
     def evaluate(batches):
@@ -264,14 +284,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
             for row in b.to_pylist():
                 pair, inverse, ids, counts, stream = pairs(row)
                 h, w = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                order, at = split(owner(mix(ids.astype(np.uint64))[h], parts), parts)
-                p_word = unigram(counts.astype(np.int64))
+                order, at = dealt(h, w, ids, counts)
+                p_word = unigram(counts)
+                name, sums = frequent.value
                 prob = np.empty(len(pair))
                 for r in row["replies"]:
                     own = order[at[r["p"]] : at[r["p"] + 1]]
                     first = runs(h[own])
                     i = np.repeat(np.arange(len(first)), np.diff(first, append=len(own)))
-                    c, t, q, few = take(r["count"], np.uint32).astype(np.int64), take(r["t"], np.uint32).astype(float), take(r["q"], np.float64), take(r["few"], np.uint32).reshape(LARGE, -1)
+                    c, t, q, few = take(r["count"], np.int64), take(r["t"], np.uint64).astype(float), take(r["q"], np.float64).copy(), take(r["few"], np.uint64).reshape(LARGE, -1).astype(float)
+                    own_h = h[own[first]]
+                    if len(split_ := np.flatnonzero(counts[own_h] > hot)):
+                        of = sums[np.searchsorted(name, ids[own_h[split_]])]
+                        t[split_], q[split_], few[:, split_] = of[:, 0], of[:, 1], of[:, 2:].T
                     size = np.arange(1, LARGE + 1)[:, None]
                     lost = ((1 - d2[1:])[:, None] * size * few).sum(0)
                     whole = np.where((lost > 0) | (t == 0), t, t + 0.5)

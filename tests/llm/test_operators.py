@@ -307,6 +307,25 @@ def test_topk_of_repeated_block_sparse_rows(spark):
 # 6
 
 
+def good_turing(seen):
+    """Katz's discounts of counts 1 to 5, from a line through the logarithms of smoothed counts of counts where the raw
+    ones do not serve; None where the line does not either."""
+    n = [sum(c == r for c in seen.values()) for r in range(1, 7)]
+
+    def ratios(f):
+        g = 6 * f(6) / f(1)
+        return [((r + 1) * f(r + 1) / (r * f(r)) - g) / (1 - g) for r in range(1, 6)] if g < 1 else [9.0]
+
+    d = ratios(lambda r: n[r - 1]) if all(n) else [9.0]
+    if not all(0 < x < 1 for x in d):
+        full = [r for r in range(1, 7) if n[r - 1]]
+        z = [(math.log(r), math.log(n[r - 1] / (0.5 * ((full[k + 1] if k + 1 < len(full) else 2 * r - full[k - 1]) - (full[k - 1] if k else 0))))) for k, r in enumerate(full)]
+        mx, my = sum(a for a, _ in z) / len(z), sum(b for _, b in z) / len(z)
+        slope = sum((a - mx) * (b - my) for a, b in z) / sum((a - mx) ** 2 for a, _ in z)
+        d = ratios(lambda r: r**slope) if slope < -1 else [9.0]
+    return [0.0, *d] if all(0 < x < 1 for x in d) else None
+
+
 def katz_by_hand(rows, folds):
     tokens = {i: [*WORD.findall(lowered(t or "")), None] for i, t in rows}
     train = [t for i, t in tokens.items() if not held(i, folds)]
@@ -316,7 +335,7 @@ def katz_by_hand(rows, folds):
         pairs = list(zip([None, *t[:-1]], t, strict=True))
         two.update(pairs)
         hist.update(h for h, _ in pairs)
-    d1, d2 = (katz.discounts([sum(c == r for c in x.values()) for r in range(1, 7)]) for x in (one, two))
+    d1, d2 = good_turing(one), good_turing(two)
     cut = lambda c, d: c * (d[c] if c <= katz.LARGE else 1.0)
     n = one.total()
     unknown = 1 - sum(cut(c, d1) for c in one.values()) / n
@@ -347,12 +366,29 @@ def test_katz(spark, docs, odd, none):
         assert r.base_score == pytest.approx(base_, rel=1e-9) and r.score == pytest.approx(score, rel=1e-6)
     for h in [None, *list(one)[:5]]:  # exactly normalised
         assert sum(p(h, w) for w in one) + p(h, object()) == pytest.approx(1, abs=1e-9)
+    # With every history of over 3 tokens split over partitions the scores are the same.
+    split = {r.doc_id: r.score for r in katz.score(docs, hot_tokens=3).collect()}
+    assert all(split[i] == pytest.approx(want[i][4], rel=1e-6) for i in want)
     got = {r.doc_id: r for r in katz.score(odd).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 1 and all(math.isfinite(r.score) for r in got.values())
     assert katz.score(odd).count() == len(ODD) and katz.score(none).count() == 0
     assert katz.score(odd.filter("doc_id = 1")).count() == 1
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_good_turing_is_used(spark, sf):
+    """On the given tables the discounts are Good-Turing's, never the fallback of one half."""
+    one, two = Counter(), Counter()
+    for r in spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text").collect():
+        if not held(r.doc_id, 10):
+            t = [*WORD.findall(lowered(r.text or "")), None]
+            one.update(t)
+            two.update(zip([None, *t[:-1]], t, strict=True))
+    for seen in (one, two):
+        d = katz.discounts([sum(c == r for c in seen.values()) for r in range(1, 7)])
+        assert d == pytest.approx(good_turing(seen)) and d[1] != pytest.approx(0.5)
+
+
 def test_katz_discounts():
     """Good-Turing ratios of sound counts of counts as they are; of uneven ones (sf0.1's pairs) those of a fitted line."""
     n = [1000, 300, 140, 80, 50, 33]
