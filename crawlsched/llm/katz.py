@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsched.llm.shared import Scratch
-from crawlsched.llm.textarrays import buffers, mix, runs, words
+from crawlsched.llm.textarrays import buffers, mix, runs, spans, words
 
 LARGE = 5
 BLOCK_TOKENS = 1 << 20
@@ -106,8 +106,8 @@ def blocks(docs: DataFrame, doc_id: str, text: str, folds: int) -> DataFrame:
             return pa.RecordBatch.from_pylist([{"block": f"{p}-{k}", "doc_ids": list(ids), "held": held, "tokens": len(all_), "train_tokens": train, "vocab": vocab.tobytes(), "stream": put(stream.astype(np.uint32)), "ends": put(np.cumsum(n))}], schema)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
+            for lo, many in spans([b.column(1)], 512):
+                part = b.slice(lo, many)
                 h, row = words(*buffers(part.column(1)), lower=True)
                 n = np.bincount(row, minlength=part.num_rows)
                 stops = np.cumsum(n)

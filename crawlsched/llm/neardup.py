@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsched.llm.shared import Scratch
-from crawlsched.llm.textarrays import buffers, mix, runs, words
+from crawlsched.llm.textarrays import buffers, mix, runs, spans, words
 
 WORDS = 5
 LEAST = 0.8
@@ -198,8 +198,8 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     def cells(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                total += np.bincount((shingles(b.column(0).slice(lo, 1024))[1] >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
+            for lo, n in spans([b.column(0)]):
+                total += np.bincount((shingles(b.column(0).slice(lo, n))[1] >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         # 256 rows of neighbouring cells, so that the sums are dealt out evenly.
         for part in np.split(at, np.searchsorted(at, np.arange(1, 256) * (BUCKETS // 256))):
@@ -221,8 +221,8 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches):
         held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                s = shingles(b.column(0).slice(lo, 1024))[1]
+            for lo, many in spans([b.column(0)]):
+                s = shingles(b.column(0).slice(lo, many))[1]
                 s = s[marked[(s >> np.uint64(46)).astype(np.int64)]]
                 both, i = np.unique(np.concatenate((held, s)), return_inverse=True)
                 counts = np.bincount(i, weights=np.concatenate((counts, np.ones(len(s)))), minlength=len(both)).astype(np.int64)
@@ -270,8 +270,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[i
 
     def sign(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo, many in spans([b.column(3)]):
+                part = b.slice(lo, many)
                 row, s, count = shingles(part.column(3))
                 found, sig = signatures(row, s, weights(s, count, sent.value))
                 k: list = [None] * part.num_rows
@@ -300,8 +300,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[i
 
     def check(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
+            for lo, many in spans([b.column("ta"), b.column("tb")], 256):
+                part = b.slice(lo, many)
                 sets = []
                 for c in ("ta", "tb"):
                     row, s, count = shingles(part.column(c))

@@ -52,6 +52,18 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def spans(columns: list[pa.Array], rows: int = 1024, size: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of rows (first, number) with at most ``rows`` rows and, but for single rows, ``size`` bytes of text."""
+    n = len(columns[0])
+    end = sum(np.cumsum(pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64)) for c in columns)
+    out, at, done = [], 0, 0
+    while at < n:
+        stop = min(n, at + rows, max(at + 1, int(np.searchsorted(end, done + size, "right"))))
+        out.append((at, stop - at))
+        at, done = stop, int(end[stop - 1])
+    return out
+
+
 def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of each word of all rows, in order. ``lower`` maps A-Z to a-z first."""
     if not len(raw):
