@@ -274,6 +274,7 @@ def test_feistel_permutes(spark):
 def best(rows, k, every):
     ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
+    # A query repeated under one identifier: its smallest vector after rounding.
     for q, v in sorted({i: v for i, v in sorted(ok, reverse=True) if i % every == 0}.items()):
         scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in ok if i != q)[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
@@ -288,6 +289,11 @@ def test_topk(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = topk.topk(d, 5, 50)
     assert sorted(tuple(r) for r in got.collect()) == best(rows, 5, 50)
+    odd = [(50, [None, 5.0]), (50, [0.5, 1.0]), (0, [0.001, 5.0]), (0, [0.002, 1.0]), (1, [1.0, 1.0]), (2, [-0.5, 3.0]), (3, []), (100, None), (150, [float("inf"), 1.0])]
+    d2 = spark.createDataFrame([(i, v, "x", 1) for i, v in odd], "vec_id long, embedding array<float>, score string, query_id int")
+    assert sorted(tuple(r) for r in topk.topk(d2, 3, 50).collect()) == best(odd, 3, 50)
+    # Queries in several batches and vectors in many blocks give the same.
+    assert sorted(tuple(r) for r in topk.topk(e.repartition(7), 5, 50, batch_bytes=512).collect()) == want
     assert topk.topk(d.limit(0), 5, 50).count() == 0 and topk.topk(d.filter("vec_id = 0"), 5, 50).count() == 0
 
 
