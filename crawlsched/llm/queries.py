@@ -89,4 +89,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = Scratch(spark, "warc")
     warc.write(read(spark, sf_dir, "pages"), f"{keep.path}/archives")
-    return warc.digests(warc.read_chunks(spark, f"{keep.path}/archives", keep_all=False))
+    return warc.digests(keep.keep(warc.read_chunks(spark, f"{keep.path}/archives", keep_all=False), "records"))

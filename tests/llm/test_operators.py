@@ -509,6 +509,45 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.digests(warc.read_chunks(spark, str(tmp_path / "e"))).count() == 0
 
 
+def test_warc_reader_holds_no_whole_record():
+    """A record of 64 MB in one piece comes back in chunks; what the reader holds stays near a chunk."""
+    import tracemalloc
+
+    size, piece = 64 << 20, b"0123456789abcdef" * 4096
+    whole = hashlib.sha1()
+    for _ in range(size // len(piece)):
+        whole.update(piece)
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5:x>\r\nWARC-Payload-Digest: sha1:%s\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200 OK\r\n\r\n" % (whole.hexdigest().encode(), size + 19)
+    reader, n, count, last = warc.Reader(), 0, 0, None
+    tracemalloc.start()
+    for data in (head, *[piece] * (size // len(piece)), b"\r\n\r\n"):
+        for row in reader.feed(data):
+            n, count, last = n + len(row[-1]), count + 1, row
+            assert len(row[-1]) <= warc.CHUNK_BYTES
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    reader.end()
+    assert n == size and last[4] == count and last[5] and last[6] == size and last[8] == whole.hexdigest() and peak < 4 << 20
+
+
+@pytest.mark.parametrize("change", [(b"sha1:", b"sha1:0"), (b"Length: 42", b"Length: 41"), (b"WARC/1.1", b"WORC/1.1"), (b"\r\n\r\n$", b""), (b"X-Payload-Length: 23", b"X-Payload-Length: 24")])
+def test_warc_reader_refuses_faults(change):
+    body = b"<p>twenty-three bytes.</"
+    body = body[:23]
+    good = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:5:x>\r\nWARC-Payload-Digest: sha1:%s\r\nX-Payload-Length: 23\r\nContent-Length: 42\r\n\r\nHTTP/1.1 200 OK\r\n\r\n%s\r\n\r\n" % (hashlib.sha1(body).hexdigest().encode(), body)
+
+    def read(data):
+        reader = warc.Reader()
+        rows = [x for k in range(0, len(data), 7) for x in reader.feed(data[k : k + 7])]
+        reader.end()
+        return rows
+
+    assert [r[-1] for r in read(good)] == [body]
+    bad = good[:-4] if change[0].endswith(b"$") else good.replace(*change)
+    with pytest.raises(ValueError):
+        read(bad)
+
+
 # Queries and pipeline
 
 
