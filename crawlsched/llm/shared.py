@@ -66,3 +66,14 @@ class Scratch:
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the identifier as text, modulo n; null identifiers count as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` does not have, whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        n = f"_{n}"
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
