@@ -34,6 +34,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ COMMON = 0.01
 BUCKETS = 1 << 18
 PART = 1024
 ROUNDS = 3
-GROUP = 128
+GROUP = 512
 BROADCAST_NODES = 1 << 20
 _RNG = np.random.default_rng(1234567)
 _ODD = _RNG.integers(1, 2**63, SAMPLES, dtype=np.uint64) | np.uint64(1)
@@ -147,8 +148,18 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def block_links(table: pa.Table, common) -> list[tuple[int, int, float]]:
-    """Links between the rows ``side`` 0 and 1 of one block of a bucket that join different classes; links that join the
-    same two classes again are left out. A pair that shares several buckets belongs to the one with the smallest key."""
+    """Links between the rows ``side`` 0 and 1 of one block of a bucket that join different classes, found a few
+    megabytes of text at a time; some links that join the same two classes again are left out. A pair that shares
+    several buckets belongs to the one with the smallest key."""
+    one, two = (table.filter(pc.equal(table["side"], s)).combine_chunks() for s in (0, 1))
+    out = []
+    for i, n in spans([one["text"].chunk(0)], GROUP, 4 << 20) if one.num_rows and two.num_rows else ():
+        for j, m in spans([two["text"].chunk(0)], 2 * GROUP, 4 << 20):
+            out += _part_links(pa.concat_tables([one.slice(i, n), two.slice(j, m)]), common)
+    return out
+
+
+def _part_links(table: pa.Table, common) -> list[tuple[int, int, float]]:
     table = table.sort_by("side").combine_chunks()
     n = int(np.count_nonzero(np.asarray(table["side"]) == 0))
     node, comp, rest, bucket = (np.asarray(table[c]) for c in ("node", "comp", "rest", "key"))
