@@ -132,7 +132,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = y.agg(F.avg("y")).first()[0]
-    net = docs.sparkSession.sparkContext.broadcast(fit(bounded(d.select("doc_id", "text").join(y, "doc_id"), "y", sample, LONGEST), share))  # a fixed size
+    net = docs.sparkSession.sparkContext.broadcast(fit(bounded(d.select("doc_id", "text"), "y", sample, LONGEST, labels=y), share))  # a fixed size
 
     def predict(batches):
         for b in batches:

@@ -7,10 +7,11 @@ seen. A text gets the language of the lowest cross-entropy per character, over t
 posterior at a temperature fitted on sampled rows held back from the counts; ``rejected`` marks texts whose
 cross-entropy lies above what 99.9 % of the held-back rows of the language reach.
 
-The models are fitted on a bounded sample: SAMPLE texts of each language, none over LONGEST characters.
+The models are fitted on a bounded sample (see ``sample``): SAMPLE texts of each language, none over LONGEST characters.
+Texts are predicted whole: a very long one is read in pieces of PIECE characters, each with the last symbols before it.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; without any training row all are; rows
-with a null language are predicted but not learned from; repeated rows are predicted alike.
+with a null language are predicted but not learned from; repeated rows are predicted alike; other columns play no part.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from crawlsched.llm.shared import fold
 ORDER = 4
 SAMPLE = 600
 LONGEST = 20_000
+PIECE = 1 << 18
 _M = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(99)
 _SALT = _RNG.integers(1, 2**63, 1 << 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -39,17 +41,22 @@ def _lower(i: int) -> int:
 _LETTER = np.array([0 if 0xD800 <= i < 0xE000 else _lower(i) for i in range(1 << 16)], np.int64)
 
 
+def mapped(text: str) -> np.ndarray:
+    """The symbol of each character (0: blank)."""
+    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    s = _LETTER[np.minimum(cp, 0xFFFF)]
+    if len(cp) and cp.max() > 0xFFFF:
+        far = np.flatnonzero(cp > 0xFFFF)
+        s = s.copy()
+        s[far] = [int(x) if chr(int(x)).isalpha() else 0 for x in cp[far]]
+    return s
+
+
 def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all texts (0: blank), each text led by a blank; where each text begins; which have a letter."""
+    """Symbols of all texts (runs of blanks are one), each text led by a blank; where each text begins; which have a letter."""
     parts, n = [], []
     for t in texts:
-        cp = np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32)
-        s = _LETTER[np.minimum(cp, 0xFFFF)]
-        if len(cp) and cp.max() > 0xFFFF:
-            far = np.flatnonzero(cp > 0xFFFF)
-            s = s.copy()
-            s[far] = [int(x) if chr(int(x)).isalpha() else 0 for x in cp[far]]
-        s = np.concatenate(([0], s))
+        s = np.concatenate(([0], mapped(t or "")))
         s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
         parts.append(s)
         n.append(len(s))
@@ -193,14 +200,14 @@ class Model:
             while j < len(texts) and (j == i or size + len(texts[j] or "") < 1 << 18):
                 size += len(texts[j] or "")
                 j += 1
-            if size > 1 << 20:  # one very long text, in pieces that overlap by a context
-                t, at, total, many = texts[i], 0, np.zeros(n), 0
-                while at < len(t):
-                    sym, begin, has = symbols([t[at : at + (1 << 18)]])
-                    letters[i] |= has[0]
-                    total += self.log_prob(grams(sym, begin))[1:].sum(0, dtype=float)
-                    many += len(sym) - 1
-                    at += 1 << 18
+            if size > 4 * PIECE:  # one very long text
+                before, total, many = np.zeros(1, np.int64), np.zeros(n), 0
+                for at in range(0, size, PIECE):
+                    s = np.concatenate((before[-1:], mapped(texts[i][at : at + PIECE])))
+                    s = s[1:][(s[1:] != 0) | (s[:-1] != 0)]
+                    sym = np.concatenate((before, s))
+                    total += self.log_prob(grams(sym, np.zeros(1, np.int64)))[len(before) :].sum(0, dtype=float)
+                    many, letters[i], before = many + len(s), letters[i] or bool(s.any()), sym[1 - ORDER :]
                 out[i] = -total / max(many, 1)
             else:
                 sym, begin, letters[i:j] = symbols(texts[i:j])

@@ -1,13 +1,17 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-The words of a source are dealt into shards; a shard is a stream of its documents in a seeded order, cut into blocks
-of equally many words. Blocks are apportioned to the sources, and each source's blocks to its shards, by the highest
+The words of a source are dealt into shards of about SHARD_WORDS words, or 1 / MOST_SHARDS of all if that is more; a shard
+is a stream of its documents in a seeded order, cut into blocks of equally many words. Blocks are apportioned to the sources, and each source's blocks to its shards, by the highest
 quotients size / (2 * seats + 1), so quotas are whole numbers that add up. A shard with n blocks and quota q takes
 every block q // n times and q % n blocks once more: a run of blocks from a seeded start. As the order is a seeded
-shuffle, the run is a random sample of documents, and all but the two at its ends stay whole.
+shuffle, the run is a random sample of documents, and all but the two at its ends stay whole; blocks drawn one by one would
+cut nearly every document.
+
+A row for each source and at most 2 * MOST_SHARDS for shards come to the driver, whatever the number of documents.
 
 Defined cases: null text has size 0; a null source is a source of its own and the last; documents of size 0 take 0;
-an empty table gives an empty result; repeated rows count as often as they stand.
+an empty table gives an empty result; repeated rows count as often as they stand; rows of one identifier and size are
+ordered by their text, so reruns agree; other columns play no part, and kept ones keep their values whatever their names.
 """
 
 from __future__ import annotations
@@ -19,12 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from crawlsched.llm.shared import SPACE, WORD
+from crawlsched.llm.shared import SPACE, WORD, Scratch
 
 BLOCK_WORDS = 8
 SHARD_WORDS = 65536
-MOST_SHARDS = 256
-BROADCAST_ROWS = 100_000
+MOST_SHARDS = 1 << 18
+BROADCAST_ROWS = 1 << 19
 SEED = 17
 
 
@@ -74,25 +78,24 @@ def word_count(text: Column) -> Column:
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1, 2, 3), most: int = 3, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
     """Columns doc_id, size, source_size, target, taken, and for ``materialise``: copies (whole takings), part_from and
-    part_to (words of one more, partial taking), kept columns as struct ``row``.
-
-    Only a few numbers per source and shard (at most MOST_SHARDS per source) come to the driver."""
-    spark = docs.sparkSession
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.col(source).isNull().alias("s_null"), word_count(F.col(text)).alias("size"), *([F.struct(*keep).alias("row")] if keep else []))
+    part_to (words of one more, partial taking), kept columns as struct ``row``."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mixing")
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("s"), F.col(source).isNull().alias("s_null"), word_count(F.col(text)).alias("size"), F.xxhash64(F.col(text)).alias("tie"), *([F.struct(*keep).alias("row")] if keep else []))
     bits = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(MOST_SHARDS)).cast("int")
     d = d.withColumn("bucket", bits)
-    found = d.groupBy("s_null", "s", "bucket").agg(F.sum("size").alias("words")).collect()
-    names = sorted({(r.s_null, r.s.encode()) for r in found})
-    by = {k: [0] * MOST_SHARDS for k in names}
-    for r in found:
-        by[r.s_null, r.s.encode()][r.bucket] += r.words
-    sizes = [sum(by[k]) for k in names]
+    fine = scratch.keep(d.groupBy("s_null", "s", "bucket").agg(F.sum("size").alias("words")), "fine")
+    by = {(r.s_null, r.s.encode()): r.words for r in fine.groupBy("s_null", "s").agg(F.sum("words").alias("words")).collect()}
+    names = sorted(by)
+    sizes = [by[k] for k in names]
+    shard_words = max(SHARD_WORDS, sum(sizes) // MOST_SHARDS)
     want = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], sum(sizes), most)
     blocks = lambda n: -(-n // BLOCK_WORDS)
-    shards = {}
-    for k, n in zip(names, sizes, strict=True):
-        per = 2 ** max(0, min(int(math.log2(MOST_SHARDS)), math.ceil(math.log2(max(1, n / SHARD_WORDS)))))
-        shards[k] = [sum(by[k][i::per]) for i in range(per)]
+    cut = {k: 2 ** max(0, min(MOST_SHARDS.bit_length() - 1, math.ceil(math.log2(max(1, n / shard_words))))) for k, n in zip(names, sizes, strict=True)}
+    per = spark.createDataFrame([(bool(k[0]), k[1].decode(), cut[k]) for k in names], "s_null boolean, s string, per int")
+    per = F.broadcast(per) if len(names) <= BROADCAST_ROWS else per
+    shards = {k: [0] * cut[k] for k in names}
+    for r in fine.join(per, ["s_null", "s"]).groupBy("s_null", "s", F.pmod("bucket", "per").alias("shard")).agg(F.sum("words").alias("words")).collect():
+        shards[r.s_null, r.s.encode()][r.shard] = r.words
     quotas = sainte_lague(want, round(sum(want) / BLOCK_WORDS), [most * sum(map(blocks, shards[k])) for k in names])
     rows = []
     for k, n, t, q in zip(names, sizes, want, quotas, strict=True):
@@ -101,11 +104,9 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
             have = max(1, blocks(words))
             rows.append((bool(k[0]), k[1].decode(), len(own), i, n, float(t), quota // have, quota % have, have, words))
     plan = spark.createDataFrame(rows, "s_null boolean, s string, per int, shard int, source_size long, target double, each int, more long, blocks long, words long")
-    per = spark.createDataFrame(sorted({r[:3] for r in rows}), "s_null boolean, s string, per int")
-    if len(rows) <= BROADCAST_ROWS:  # else joined by shuffle; the hot source is then split by its bucket below
-        per, plan = F.broadcast(per), F.broadcast(plan)
+    plan = F.broadcast(plan) if len(rows) <= BROADCAST_ROWS else plan  # else joined by a shuffle; shards are small
     d = d.join(per, ["s_null", "s"]).withColumn("shard", F.pmod("bucket", F.col("per"))).drop("per")
-    order = Window.partitionBy("s_null", "s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size")
+    order = Window.partitionBy("s_null", "s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "size", "tie")
     d = d.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("size"))
     d = d.join(plan, ["s_null", "s", "shard"])
     first = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("s"), F.col("shard")), F.col("blocks"))

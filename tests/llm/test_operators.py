@@ -11,7 +11,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from crawlsched.llm import byte_cnn, katz, language, mixing, neardup, packing, pii, quality_rules, queries, topk, warc
+from crawlsched.llm import byte_cnn, katz, language, mixing, neardup, packing, pii, quality_rules, queries, sample, topk, warc
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
@@ -98,6 +98,51 @@ def test_language(spark, docs, odd, none):
     assert language.identify(none).count() == 0
 
 
+def test_a_very_long_text_is_read_as_a_whole(monkeypatch):
+    """Pieces with the symbols before them give the entropy of the whole, wherever they are cut."""
+    m = language.fit([(i, t, lang) for i in range(5) for t, lang in (("the cat sat on the mat, and so on", "en"), ("der Hund lief über die Straße, ja", "de"))])
+    rng = random.Random(4)
+    text = "".join(rng.choice("the mat der Straße   12,,\n\U0001f600\U00010400") for _ in range(3000))
+    whole = m.entropies([text])[0]
+    for piece in (1, 2, 3, 7, 100, 599):
+        monkeypatch.setattr(language, "PIECE", piece)
+        got, letters = m.entropies([text])
+        assert got == pytest.approx(whole, rel=1e-12) and letters[0]
+
+
+def test_kneser_ney_by_hand(spark):
+    """Probabilities of the recursion written out over plain counts."""
+    texts = ["abab cab", "bca bab", "cabba", "aab bcc", "ccab a"] * 3
+    m = language.fit([(i, t, "en") for i, t in enumerate(texts)])
+    train = [t for i, t in enumerate(texts) if i % 5]
+    order, full = language.ORDER, Counter()
+    for t in train:
+        s = "#" * order + t.replace(" ", "#")
+        full.update(s[i - order + 1 : i + 1] for i in range(order, len(s)))
+    level = {order: full}
+    for k in range(order - 1, 0, -1):
+        level[k] = Counter({g: len(v) for g, v in [(g, {w[0] for w in level[k + 1] if w[1:] == g}) for g in {w[1:] for w in level[k + 1]}]}) if k + 1 == order else Counter({g: len({w[order - k - 1] for w in full if w.endswith(g)}) for g in {w[-k:] for w in full}})
+    alphabet = {c for t in train for c in t.replace(" ", "#")} | {"#"}
+
+    def p(g):
+        k = len(g)
+        if not k:
+            return 1 / (len(alphabet) + 1)
+        c = level[k]
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+        own = {w: v for w, v in c.items() if w[:-1] == g[:-1]}
+        if not own:
+            return p(g[1:])
+        return max(own.get(g, 0) - d, 0) / sum(own.values()) + d * len(own) / sum(own.values()) * p(g[1:])
+
+    for text in ("abab", "bcab", "cc aab", "abc"):
+        s = "#" * order + text.replace(" ", "#")
+        want = [math.log(p(s[i - order + 1 : i + 1])) for i in range(order, len(s))]
+        got = m.log_prob(language.grams(*language.symbols([text])[:2]))[1:, 0]
+        assert got.tolist() == pytest.approx(want, abs=1e-5)
+
+
 def test_kneser_ney_adds_up():
     """After any context the probabilities of all symbols add up to one."""
     m = language.fit([(i, t, "en") for i, t in enumerate(["abab cab", "bca bab", "cabba", "aab bcc", "ccab a"] * 3)])
@@ -122,6 +167,40 @@ def test_classifier(spark, docs, odd, none, labels):
     assert len({r.score for r in byte_cnn.classify(odd, labels.filter("quality = 1")).collect()}) == 1
 
 
+def test_classifier_by_hand():
+    """The network's score of texts of several chunks, byte by byte."""
+    net = byte_cnn.Net()
+    r = random.Random(2)
+    net.p["v"][:] = [r.uniform(-1, 1) for _ in net.p["v"]]
+    net.shift = 0.25
+    for text in (b"", b"abc", bytes(r.randrange(256) for _ in range(1300))):
+        n = max(1, -(-(len(text) - byte_cnn.OVERLAP) // byte_cnn.STEP))
+        padded, tops = text + bytes((n - 1) * byte_cnn.STEP + byte_cnn.CHUNK - len(text)), []
+        for k in range(n):
+            chunk = padded[k * byte_cnn.STEP : k * byte_cnn.STEP + byte_cnn.CHUNK]
+            best = [0.0] * byte_cnn.FILTERS
+            for at in range(0, byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE):
+                x = [v for b in chunk[at : at + byte_cnn.WIDTH] for v in net.p["e"][b]]
+                for f in range(byte_cnn.FILTERS):
+                    best[f] = max(best[f], sum(float(a) * float(w) for a, w in zip(x, net.p["w"][:, f], strict=True)) + float(net.p["b"][f]))
+            tops.append(best)
+        feature = [max(c) for c in zip(*tops, strict=True)] + [sum(c) / n for c in zip(*tops, strict=True)]
+        z = sum(a * float(w) for a, w in zip(feature, net.p["v"], strict=True)) + float(net.p["c"][0]) + 0.25
+        assert net.score([text])[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-4)
+
+
+def test_bounded_sample(spark):
+    rows = [(i, f"t{i}", "a" if i % 50 else "b") for i in range(5000)] + [(7, "t7", "a")] * 500 + [(9, None, "a"), (None, "x", "a"), (8, "t" * 300, "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sample.bounded(d, "lang", 60, 100)
+    assert Counter(r[2] for r in got) == {"a": 60, "b": 60} and len(set(got)) == len(got) == 120
+    assert sample.bounded(d.repartition(9), "lang", 60, 100) == got
+    y = d.filter("doc_id is not null").groupBy("doc_id").agg(F.max("lang").alias("y"))
+    both = sample.bounded(d.drop("lang"), "y", 60, 100, labels=y)
+    assert Counter(r[2] for r in both) == {"a": 60, "b": 60} and len(set(both)) == 120
+    assert len(sample.bounded(d, "lang", 10_000, 100)) == 5000 and sample.bounded(d.limit(0), "lang", 5, 100) == []
+
+
 def test_chunks_cover_every_byte():
     for n in (0, 1, 511, 512, 513, 960, 961, 5000):
         c = byte_cnn.chunks(bytes([7]) * n)
@@ -520,6 +599,11 @@ def test_mixing(spark, docs, odd, none):
     made = mixing.materialise(whole)
     assert made.columns == docs.columns
     assert made.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == whole.agg(F.sum("taken")).first()[0]
+    # Rows that agree in identifier and size are told apart by their text, and extra columns keep their names.
+    rows = [(1, f"{c} " * 50 + str(k), "en", "s", 1, c) for k, c in enumerate("abcdefgh")]
+    tied = spark.createDataFrame(rows + [(2, "z " * 300, "en", "t", 1, "z")], DOCS)
+    taken = [sorted((r.row.text[:1], r.taken, r.part_from) for r in mixing.mix(x, keep=("text", "extra")).collect()) for x in (tied, tied.repartition(5), tied.orderBy(F.desc("text")))]
+    assert taken[0] == taken[1] == taken[2]
     assert mixing.mix(odd).count() == len(ODD) and mixing.mix(none).count() == 0
     assert all(r.taken == 0 for r in mixing.mix(odd).collect() if r.size == 0)
 
