@@ -36,7 +36,7 @@ from crawlsched.llm.textarrays import buffers, mix, runs, spans, words
 
 LARGE = 5
 BLOCK_TOKENS = 1 << 20
-PART_TOKENS = 3_000_000
+PART_TOKENS = 1_000_000
 HOT_TOKENS = PART_TOKENS // 8
 END = np.uint64(1)
 SHIFT = 40
