@@ -3,7 +3,9 @@
 Bytes are embedded, convolved with learned filters (WIDTH bytes, every STRIDE-th position), rectified, and max-pooled
 over chunks of CHUNK bytes that overlap by OVERLAP and cover the whole text. The maxima over all chunks and the mean of
 the chunks' maxima go into one logistic unit. Training (Adam, seeded) runs on a bounded sample: SAMPLE labelled texts
-of each label, none over LONGEST characters; the label shares of all rows are put back as the unit's offset.
+of each label, none over LONGEST characters, over EPOCHS rounds, or up to MOST_EPOCHS until STEPS batches are done. One row in HELD is kept from training; on
+these the unit's offset is fitted, so that the threshold keeps all but LOST of label 1 and rejects as many others as it
+can. With fewer than FEWEST such rows of a label, the label shares of all rows are the offset.
 
 Defined cases: null and empty texts are one chunk of zero bytes; rows without a label are scored, not learned from;
 without both labels in training every score is the share of label 1 (1 if there is none); a document with several
@@ -25,7 +27,13 @@ CHUNK, OVERLAP = 512, 64
 STEP = CHUNK - OVERLAP
 SAMPLE = 1500
 LONGEST = 12_000
-EPOCHS = 6
+EPOCHS = 12
+STEPS = 1000
+MOST_EPOCHS = 60
+BATCH = 32
+HELD = 6
+FEWEST = 10
+LOST = 0.01
 POSITIONS = (CHUNK - WIDTH) // STRIDE + 1
 
 
@@ -77,8 +85,8 @@ class Net:
         step = 0
         for epoch in range(epochs):
             order = r.permutation(len(texts))
-            for lo in range(0, len(order), 32):
-                batch = order[lo : lo + 32]
+            for lo in range(0, len(order), BATCH):
+                batch = order[lo : lo + BATCH]
                 parts = [chunks(texts[i]) for i in batch]
                 begin = np.cumsum([0, *map(len, parts)])
                 c = np.concatenate(parts)
@@ -113,17 +121,39 @@ class Net:
                     self.p[k] = (self.p[k] - now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-7)).astype(np.float32)
 
 
-def fit(rows: list[tuple[int, str, int]], share: float | None) -> Net:
+def offset(logits: np.ndarray, labels: np.ndarray, least: float) -> float:
+    """What to add to the logits so that probability ``least`` keeps all but LOST of label 1 and few of label 0. Between
+    cuts that do equally well the middle one is taken."""
+    z = np.unique(logits)
+    cuts = np.concatenate(([z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]))
+    good, bad = np.sort(logits[labels == 1]), np.sort(logits[labels == 0])
+    lost, caught = np.searchsorted(good, cuts) / len(good), np.searchsorted(bad, cuts) / len(bad)
+    worth = np.where(lost <= LOST, caught - lost, -1.0)
+    best = cuts[worth >= worth.max() - 1e-12]
+    return float(np.log(least / (1 - least)) - (best[0] + best[-1]) / 2)
+
+
+def fit(rows: list[tuple[int, str, int]], share: float | None, least: float = 0.3) -> Net:
     """``share``: of label 1 among all labelled rows, None if there are none."""
     net = Net()
     labels = np.array([r[2] for r in rows], float)
     if share is None or not len(rows) or labels.min() == labels.max():
         net.constant = 1.0 if share is None else share
         return net
+    texts = [r[1].encode() for r in rows]
+    back = np.zeros(len(rows), bool)
+    for v in (0, 1):  # identifiers are in order, so this is a fixed choice
+        back[np.flatnonzero(labels == v)[::HELD]] = True
+    fitted = min(labels[back].sum(), (1 - labels[back]).sum()) >= FEWEST
+    own = np.flatnonzero(~back) if fitted else np.arange(len(rows))
     net.p["v"][:] = np.random.default_rng(6).normal(0, 0.1, 2 * FILTERS)
-    net.train([r[1].encode() for r in rows], labels)
-    drawn = labels.mean()
-    net.shift = float(np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)))
+    net.train([texts[i] for i in own], labels[own], min(MOST_EPOCHS, max(EPOCHS, -(-STEPS // -(-len(own) // BATCH)))))
+    if fitted:
+        p = np.clip(net.score([texts[i] for i in np.flatnonzero(back)]), 1e-12, 1 - 1e-12)
+        net.shift = offset(np.log(p / (1 - p)), labels[back], least)
+    else:
+        drawn = labels.mean()
+        net.shift = float(np.log(share / (1 - share)) - np.log(drawn / (1 - drawn)))
     return net
 
 
@@ -132,7 +162,7 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *([F.struct(*keep).alias("row")] if keep else []))
     y = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id is not null and y in (0, 1)").filter(fold(F.col("doc_id"), folds) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = y.agg(F.avg("y")).first()[0]
-    net = docs.sparkSession.sparkContext.broadcast(fit(bounded(d.select("doc_id", "text"), "y", sample, LONGEST, labels=y), share))  # a fixed size
+    net = docs.sparkSession.sparkContext.broadcast(fit(bounded(d.select("doc_id", "text"), "y", sample, LONGEST, labels=y), share, least))  # a fixed size
 
     def predict(batches):
         for b in batches:

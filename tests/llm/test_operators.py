@@ -167,6 +167,20 @@ def test_classifier(spark, docs, odd, none, labels):
     assert len({r.score for r in byte_cnn.classify(odd, labels.filter("quality = 1")).collect()}) == 1
 
 
+def test_offset_keeps_label_one():
+    z, y = byte_cnn.np.array([-3.0, -2.0, 1.0, 5.0, 6.0, 7.0]), byte_cnn.np.array([0, 0, 0, 1, 1, 1])
+    assert z[3] + byte_cnn.offset(z, y, 0.3) > math.log(0.3 / 0.7) > z[2] + byte_cnn.offset(z, y, 0.3)
+    z[2] = 6.5  # a row of label 0 among those of label 1 is let through
+    assert z[3] + byte_cnn.offset(z, y, 0.3) > math.log(0.3 / 0.7) > z[1] + byte_cnn.offset(z, y, 0.3)
+
+
+def test_held_out_rows_of_low_quality_are_rejected(spark):
+    d, y = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = [r for r in byte_cnn.classify(d, y).join(y.select("doc_id", "quality"), "doc_id").filter("held_out and quality is not null").collect()]
+    bad, good = ([r.predicted for r in got if r.quality == v] for v in (0, 1))
+    assert sum(bad) <= 0.2 * len(bad) and sum(good) >= 0.95 * len(good)
+
+
 def test_classifier_by_hand():
     """The network's score of texts of several chunks, byte by byte."""
     net = byte_cnn.Net()
