@@ -3,8 +3,9 @@
 Only lengths matter for a packing, so the plan is made over the histogram of piece lengths (at most ``capacity``
 entries, whatever the corpus): the longest open piece starts a bin, and a bitset subset-sum over the remaining lengths
 finds the fullest combination for the rest. A found pattern is used as often as its lengths last, then its pieces are
-removed; that is the same packing as bin by bin, as the search is deterministic. Pieces get their place by their rank
-among pieces of equal length, counted in salted parts.
+removed; that is the same packing as bin by bin, as the search is deterministic. Pieces that fill a sequence need no plan and
+get one of their own where they stand. The others get their place by their rank among pieces of equal length, counted in
+parts of about PART_ROWS, so that a length that a third of all pieces have is no single task's.
 
 Defined cases: null text is empty and still ends with the end token; repeated rows are packed as often as they stand;
 an empty table gives an empty result. Texts are parted at white space before they are tokenized; the tokenizer drops
@@ -30,7 +31,7 @@ from crawlsched.llm.shared import Scratch
 
 CAPACITY = 4096
 END = 1
-SALTS = 64
+PART_ROWS = 1 << 18
 CACHE_CHUNKS = 800_000
 CACHE_WORDS = 800_000
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -185,15 +186,19 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, list[int]]]:
 
 
 def pack(piece_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset. ``piece_table`` must be cheap to read again (a written table)."""
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS))
-    t = piece_table.withColumn("_salt", salt)
-    parts = t.groupBy("length", "_salt").agg(F.count("*").alias("n"))
-    counts: dict[int, int] = {}
+    """Adds sequence_id and offset. ``piece_table`` is a written table of pieces with a column ``lot``, any numbers that are
+    spread over all rows, repeated ones too."""
+    spark = piece_table.sparkSession
+    full = piece_table.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long")).drop("lot")
+    t = piece_table.filter(F.col("length") < capacity)
+    counts = {r["length"]: r["n"] for r in t.groupBy("length").agg(F.count("*").alias("n")).collect()}  # below capacity rows
+    salts = spark.createDataFrame([(n, -(-c // PART_ROWS)) for n, c in counts.items()], "length long, _salts long")
+    t = t.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("lot"), "_salts")).drop("_salts")
     base: list[tuple[int, int, int]] = []
-    for r in sorted(parts.collect()):  # at most capacity * SALTS rows
-        base.append((r["length"], r["_salt"], counts.get(r["length"], 0)))
-        counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
+    before: dict[int, int] = {}
+    for r in sorted(t.groupBy("length", "_salt").agg(F.count("*").alias("n")).collect()):  # rows / PART_ROWS + capacity rows
+        base.append((r["length"], r["_salt"], before.get(r["length"], 0)))
+        before[r["length"]] = before.get(r["length"], 0) + r["n"]
     first, at = {}, 0
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
     for times, pattern in plan(counts, capacity):
@@ -205,10 +210,9 @@ def pack(piece_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             offset += n
         at += times
     ranks = {n: (np.array([s[0] for s in x]), np.array([s[1] for s in x]), np.array([s[2] for s in x])) for n, x in slots.items()}
-    spark = piece_table.sparkSession
     starts = spark.createDataFrame(base, "length long, _salt long, _base long")
     w = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    t = t.withColumn("_rank", F.row_number().over(w)).join(starts, ["length", "_salt"])
+    t = t.withColumn("_rank", F.row_number().over(w)).join(F.broadcast(starts), ["length", "_salt"])
     t = t.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_base") - 1).alias("rank"))
 
     def place(batches):
@@ -221,9 +225,9 @@ def pack(piece_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 seq[at], off[at] = sid[k] + rank[at] - lo[k], o[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[x.split()[0] for x in (PIECES + ", sequence_id long, offset long").split(", ")])
 
-    return t.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return t.mapInArrow(place, PIECES + ", sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:
     keep = Scratch(docs.sparkSession, "packing")
-    return pack(keep.keep(pieces(docs, tokenizer, doc_id, text, capacity, end), "pieces"), capacity)
+    return pack(keep.keep(pieces(docs, tokenizer, doc_id, text, capacity, end).withColumn("lot", F.monotonically_increasing_id()), "pieces"), capacity)
