@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 import time
+from contextlib import nullcontext
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -65,14 +66,13 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+SHOWN = 20
+
+
 def write(rows, path: str | None) -> None:
-    """Lines of a bounded page to a file or to standard output."""
-    text = "".join(f"{r}\n" for r in rows)
-    if path:
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(text)
-    else:
-        sys.stdout.write(text)
+    """Lines to a file or to standard output, as they come."""
+    with open(path, "w", encoding="utf-8") if path else nullcontext(sys.stdout) as f:
+        f.writelines(f"{r}\n" for r in rows)
 
 
 def run(a: argparse.Namespace, f: Frontier) -> int:
@@ -80,22 +80,23 @@ def run(a: argparse.Namespace, f: Frontier) -> int:
     if c == "nodes":
         write(f.list_nodes(), None)
     elif c == "list-queues":
-        lines, at = [], a.start
-        while page := [r.key for r in f.list_queues(a.crawl, at, a.number, a.inactive).collect()]:
-            lines, at = lines + page, at + len(page)
-        write(lines, a.out)
+        # All pages in one sorted plan, a partition at a time.
+        write((r.key for r in f.list_queues(a.crawl, a.start, 2**31 - 1 - a.start, a.inactive).toLocalIterator()), a.out)
     elif c == "list-crawls":
         write(sorted(r.crawl_id for r in f.list_crawls().collect()), None)
     elif c == "list-urls":
         rows = f.list_urls(a.crawl, a.key, a.start, a.number, a.filter, a.ignore_case)
         lines = dump.json_lines(rows, pretty=True) if a.json else dump.listing(rows, a.parse)
-        write((r.value for r in lines.collect()), a.out)
+        write((r.value for r in lines.toLocalIterator()), a.out)
     elif c == "stats":
         write((json.dumps(r.asDict()) for r in f.stats(a.crawl, a.key).collect()), None)
     elif c == "put":
         began, items = time.time(), puts.read_puts(f.spark, a.file, a.crawl)
-        for r in puts.invalid_lines(f.spark, a.file).collect():
+        bad = puts.invalid_lines(f.spark, a.file)
+        for r in bad.limit(SHOWN).collect():
             print(f"Invalid input line {r.seq}", file=sys.stderr)
+        if (n := bad.count()) > SHOWN:
+            print(f"Invalid input lines: {n} in all", file=sys.stderr)
         by = {(r.kind, r.status): r.n for r in ingest.summary(f.put_urls(items)).collect()}
         n = sum(by.values())
         count = lambda s: sum(v for k, v in by.items() if k[1] == s)
@@ -104,7 +105,7 @@ def run(a: argparse.Namespace, f: Frontier) -> int:
         if a.key and a.crawl is None:
             print("a key needs a crawl", file=sys.stderr)
         sent = f.get_urls(Get(a.max_urls, a.max_queues, a.delay, a.crawl, a.key))
-        write((r.value for r in sent.select(F.to_json(F.struct("url", "key", "crawl_id", "metadata")).alias("value")).collect()), None)
+        write((r.value for r in sent.select(F.to_json(F.struct("url", "key", "crawl_id", "metadata")).alias("value")).toLocalIterator()), None)
     elif c == "set-active":
         f.set_active(a.state)
     elif c == "get-active":
@@ -144,7 +145,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             settings = config.parse_lines(f)
     path = a.store or config.string(settings, "store.path", "./crawl-state")
     spark = spark or SparkSession.builder.appName("crawlsched").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    f = Frontier(spark, path, config.integer(settings, "store.shards", 64), purge=config.flag(settings, "store.purge"), check=config.flag(settings, "store.check"))
+    f = Frontier(spark, path, config.integer(settings, "store.shards", 64), purge=config.flag(settings, "store.purge"), check=config.flag(settings, "store.check"), bloom=not config.flag(settings, "store.bloom.disable"))
+    if config.flag(settings, "store.stats"):
+        write((json.dumps(r.asDict()) for r in f.statistics().collect()), None)  # a row for each shard
     if nodes := config.string(settings, "nodes"):
         if sorted(n.strip() for n in nodes.split(",")) != f.list_nodes():
             f.set_nodes([n.strip() for n in nodes.split(",")])

@@ -23,9 +23,9 @@ def derive_key(url: Column) -> Column:
 
 
 def key_of(key: Column, url: Column) -> Column:
-    """The stated key or else the derived one; null if there is none or it is too long."""
+    """The stated key or else the derived one; null if there is none or it is too long, counted in UTF-16 units."""
     found = F.coalesce(F.nullif(key, F.lit("")), derive_key(url))
-    return F.when(F.length(found) <= LONGEST_KEY, found)
+    return F.when(F.length(found) + F.length(F.regexp_replace(found, r"[^\x{10000}-\x{10FFFF}]", "")) <= LONGEST_KEY, found)
 
 
 def queue_id(crawl_id: Column, key: Column) -> Column:
@@ -47,11 +47,15 @@ def padded_date(date: Column) -> Column:
 
 def java_hash(text: Column) -> Column:
     """The 32-bit string hash of the JVM, as a signed long: over UTF-16 units, so astral characters count twice."""
-    units = F.hex(F.encode(text, "UTF-16BE"))
-    n = F.length(units) / 4
-    unit = lambda i: F.conv(F.substring(units, i * 4 - 3, F.lit(4)), 16, 10).cast("long")
-    steps = F.when(n > 0, F.sequence(F.lit(1), n.cast("int"))).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(steps, F.lit(0).cast("long"), lambda a, i: (a * 31 + unit(i)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    mask = F.lit(0xFFFFFFFF).cast("long")
+    step = lambda a, unit: (a * 31 + unit).bitwiseAND(mask)
+
+    def char(a: Column, c: Column) -> Column:
+        code = F.ascii(c).cast("long")
+        far = code - 0x10000
+        return F.when(code < 0x10000, step(a, code)).otherwise(step(step(a, F.shiftright(far, 10) + 0xD800), far.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
+
+    low = F.when(text == "", F.lit(0).cast("long")).otherwise(F.aggregate(F.split(text, ""), F.lit(0).cast("long"), char))
     return F.when(low >= 2**31, low - 2**32).otherwise(low)
 
 

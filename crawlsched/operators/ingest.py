@@ -14,14 +14,15 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crawlsched.functions.keys import ack_id, key_of, normalise_crawl
 from crawlsched.schema import ACKS, METADATA, QUEUES, UNSET, URL_KEYS, URLS, columns
 
-ITEM = 1 << 20
+ITEM = 1 << 31
+SLOTS = 1024
 
 
 class Ingested(NamedTuple):
@@ -85,27 +86,35 @@ def release(leases: DataFrame, changed: DataFrame) -> DataFrame:
     return leases.join(changed.select(*URL_KEYS), URL_KEYS, "left_anti")
 
 
+def new_queues(queues: DataFrame, puts: DataFrame, tail: int | Column) -> DataFrame:
+    """Rows for the queues that an accepted put names first, behind position ``tail`` in the order of their arrival.
+
+    Ranks are taken within SLOTS ranges of sequence numbers and set off by the counts of the ranges before, so that no
+    task sorts all new queues."""
+    named = normalised(puts).filter("key is not null").groupBy("crawl_id", "key").agg(F.min("seq").alias("seq"))
+    fresh = named.join(queues.select("crawl_id", "key"), ["crawl_id", "key"], "left_anti")
+    ends = fresh.agg(F.struct(F.min("seq").alias("lo"), F.max("seq").alias("hi")).alias("e")).scalar()
+    fresh = fresh.withColumn("_e", ends).withColumn("slot", F.floor((F.col("seq") - F.col("_e.lo")) / (F.floor((F.col("_e.hi") - F.col("_e.lo")) / SLOTS) + 1))).drop("_e")
+    before = fresh.groupBy("slot").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)))  # SLOTS rows
+    rank = F.row_number().over(Window.partitionBy("slot").orderBy("seq")).cast("long")
+    placed = fresh.withColumn("rank", rank).join(F.broadcast(before.select("slot", F.coalesce("before", F.lit(0)).alias("before"))), "slot")
+    unset, zero = F.lit(UNSET).cast("long"), F.lit(0).cast("long")
+    place = (tail if isinstance(tail, Column) else F.lit(tail)) + F.col("before") + F.col("rank")
+    return placed.select("crawl_id", "key", unset.alias("blocked_until"), unset.alias("delay"), zero.alias("last_produced"), zero.alias("crawl_limit"), place.cast("long").alias("rotation_pos"))
+
+
 def add_queues(queues: DataFrame, puts: DataFrame) -> DataFrame:
-    """``queues`` with a row, at the tail of the rotation, for each queue that an accepted put names first."""
-    named = normalised(puts).filter("key is not null").select("crawl_id", "key").distinct()
-    fresh = named.join(queues, ["crawl_id", "key"], "left_anti")
-    tail = queues.agg(F.coalesce(F.max("rotation_pos"), F.lit(-1)).alias("tail"))
-    # Positions need only be distinct and above the tail: a rank within each of 1024 groups, interleaved, does without
-    # a sort of all new queues in one task.
-    part = F.pmod(F.xxhash64("crawl_id", "key"), F.lit(1024))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("crawl_id", "key")).cast("long")
-    placed = fresh.withColumn("part", part).withColumn("rotation_pos", tail.scalar() + rank * 1024 + F.col("part"))
-    unset = F.lit(UNSET).cast("long")
-    zero = F.lit(0).cast("long")
-    rows = placed.select("crawl_id", "key", unset.alias("blocked_until"), unset.alias("delay"), zero.alias("last_produced"), zero.alias("crawl_limit"), "rotation_pos")
-    return queues.select(*columns(QUEUES)).unionByName(rows)
+    """``queues`` with ``new_queues`` at the tail of the rotation."""
+    tail = queues.agg(F.coalesce(F.max("rotation_pos"), F.lit(-1)).alias("tail")).scalar()
+    return queues.select(*columns(QUEUES)).unionByName(new_queues(queues, puts, tail))
 
 
 def batch_items(batches: DataFrame) -> DataFrame:
-    """Discovered batches (see schema.BATCHES) as puts; the sequence number is the batch's, then the place in it."""
+    """Discovered batches (see schema.BATCHES) as puts; the sequence number is the batch's, then the place in it. An
+    array has fewer than ITEM items, so no two are given the same; batch numbers go up to 2**32."""
     each = batches.select(F.col("seq").alias("batch"), F.posexplode("items"))
     return each.select(
-        (F.col("batch") * ITEM + F.col("pos")).alias("seq"), F.lit(None).cast("string").alias("id"), F.lit("discovered").alias("kind"),
+        (F.col("batch") * F.lit(ITEM).cast("long") + F.col("pos")).alias("seq"), F.lit(None).cast("string").alias("id"), F.lit("discovered").alias("kind"),
         F.col("col.crawl_id").alias("crawl_id"), F.col("col.key").alias("key"), F.col("col.url").alias("url"),
         F.col("col.metadata").alias("metadata"), F.lit(None).cast("long").alias("refetch"),
     )
@@ -113,7 +122,7 @@ def batch_items(batches: DataFrame) -> DataFrame:
 
 def batch_acks(batches: DataFrame, acks: DataFrame) -> DataFrame:
     """id, statuses (in the order of the items) of each batch; a batch without items has none."""
-    by = acks.groupBy(F.floor(F.col("seq") / ITEM).cast("long").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("seq", "status"))).alias("all"))
+    by = acks.groupBy(F.shiftright("seq", 31).alias("seq")).agg(F.array_sort(F.collect_list(F.struct("seq", "status"))).alias("all"))
     statuses = F.coalesce(F.transform("all", lambda x: x["status"]), F.array().cast("array<string>"))
     return batches.select("seq", "id").join(by, "seq", "left").select("seq", "id", statuses.alias("statuses"))
 

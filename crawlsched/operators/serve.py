@@ -7,7 +7,8 @@ date and URL.
 Plan: an open queue has at most ``max_urls`` - 1 leases, so its answer lies within its first 2 * ``max_urls`` - 1 due
 URLs. The scan over all URLs therefore ranks first (Spark prunes each task to that many rows per queue before the
 shuffle, so a queue with a third of all URLs costs no more than any other), and gate and leases are joined to what is
-left. In-process counts come from the leases alone, and completed URLs are counted for queues with a limit only.
+left. In-process counts come from the leases alone. Completed URLs are counted by queue within each scan task, before what is
+left of them meets the queues with a limit; limits are rare, but nothing bounds their number, so they are not broadcast.
 """
 
 from __future__ import annotations
@@ -106,19 +107,19 @@ def leased(leases: DataFrame, sent: DataFrame, now: int, get: Get) -> DataFrame:
 def produced(queues: DataFrame, sent: DataFrame, now: int) -> DataFrame:
     """``queues`` with last_produced set where at least one URL went out."""
     from_ = sent.select(*KEYS).distinct().withColumn("_sent", F.lit(True))
-    cols = [F.when(F.col("_sent"), F.lit(now).cast("long")).otherwise(F.col(c)).alias(c) if c == "last_produced" else F.col(c) for c in columns(QUEUES)]
+    cols = [F.when(F.col("_sent"), F.lit(now).cast("long")).otherwise(F.col(c)).alias(c) if c == "last_produced" else F.col(c) for c in queues.columns]
     return queues.join(from_, KEYS, "left").select(*cols)
 
 
 def rotated(queues: DataFrame, sent: DataFrame, get: Get) -> DataFrame:
     """``queues`` with the rotation after a serve. Queues are visited by position until ``max_queues`` of them gave a
     URL, and visited ones go to the tail in order. A full round ends where it began, with the first queue moved once
-    more, so that the next one starts at the second. A serve by key does not rotate.
+    more, so that the next one starts at the second: only its position changes. A serve by key does not rotate.
 
     Adding the width of the range to a position keeps the order and puts it above all others, so no ranks are needed.
     """
     if get.key:
-        return queues.select(*columns(QUEUES))
+        return queues
     hits = queues.join(sent.select(*KEYS).distinct(), KEYS, "left_semi").agg(F.count("*").alias("n"), F.max("rotation_pos").alias("last"))
     bounds = queues.agg(F.struct(F.min("rotation_pos").alias("lo"), F.max("rotation_pos").alias("hi")).alias("b"))
     q = queues.withColumn("_b", bounds.scalar()).withColumn("_h", hits.select(F.struct("n", "last")).scalar())
@@ -126,5 +127,12 @@ def rotated(queues: DataFrame, sent: DataFrame, get: Get) -> DataFrame:
     stopped = F.lit(bool(get.max_queues)) & (F.col("n") >= get.max_queues)
     width = F.col("hi") - F.col("lo") + 1
     there = F.col("rotation_pos")
-    new = F.when(stopped, F.when(there <= F.col("last"), there + width).otherwise(there)).when(there == F.col("lo"), F.col("hi") + width + 1).otherwise(there + width)
-    return q.select(*[new.alias(c) if c == "rotation_pos" else F.col(c) for c in columns(QUEUES)])
+    new = F.when(stopped, F.when(there <= F.col("last"), there + width).otherwise(there)).when(there == F.col("lo"), F.col("hi") + 1).otherwise(there)
+    return q.select(*[new.alias(c) if c == "rotation_pos" else F.col(c) for c in queues.columns])
+
+
+def moved(queues: DataFrame, sent: DataFrame, now: int, get: Get) -> DataFrame:
+    """The rows of ``queues`` that a serve changes, as they are after it."""
+    state = F.struct("last_produced", "rotation_pos")
+    after = rotated(produced(queues.withColumn("_was", state), sent, now), sent, get)
+    return after.filter(state != F.col("_was")).select(*columns(QUEUES))

@@ -102,3 +102,36 @@ puts AS (SELECT event_id AS seq, concat('e', CAST(event_id AS VARCHAR)) AS id,
     CASE WHEN event_type IN ('view', 'click', 'signup') THEN 0 ELSE 1704067200 + event_id END AS refetch FROM events),
 placed AS (SELECT *, row_number() OVER (PARTITION BY key, url ORDER BY seq) AS nth,
     row_number() OVER (PARTITION BY key, url, kind ORDER BY seq DESC) AS from_last FROM puts)"""
+
+
+def more_puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put items for the state above, of eight sorts by order: discoveries of URLs that are there, updates, completions,
+    new URLs (twice each), URLs without a key, keys that are too long (some only in UTF-16 units), items without an
+    identifier in queues with underscores, and new known URLs without key and crawl."""
+    s = state(spark, sf_dir).urls
+    n = F.regexp_extract("url", r"/o/([0-9]+)$", 1).cast("long")
+    o = s.select("crawl_id", "key", "url", n.alias("n")).filter("n % 3 = 0").withColumn("sort", F.expr("n % 24 div 3"))
+    o = o.withColumn("again", F.explode(F.when(F.col("sort") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    sort, again = F.col("sort"), F.col("again") == 1
+    text = F.col("n").cast("string")
+    kind = F.when(sort.isin(1, 2, 7) | again, "known").otherwise("discovered")
+    key = F.when(sort < 3, F.col("key")).when((sort == 5) & (F.col("n") % 2 == 0), F.lit("k" * 300)).when(sort == 5, F.lit("\U0001f600" * 128)).when(sort == 6, F.concat(F.lit("q_"), (F.col("n") % 10).cast("string"))).otherwise(F.lit(""))
+    url = F.when(sort == 3, F.concat("url", F.lit("/new"))).when(sort == 4, "http://").when(sort == 6, F.concat("url", F.lit("?x"))).when(sort == 7, F.concat(F.lit("http://new"), text, F.lit(".org/"))).otherwise(F.col("url"))
+    refetch = F.when(sort == 1, NOW + 100 + F.col("n")).when(again | (sort == 7), F.lit(NOW + 5)).otherwise(F.lit(0)).cast("long")
+    return o.select((F.col("n") * 2 + F.col("again")).alias("seq"), F.when(sort != 6, F.concat(F.lit("i"), text)).otherwise(F.lit("")).alias("id"), kind.alias("kind"), F.when(sort == 7, F.lit("")).otherwise(F.col("crawl_id")).alias("crawl_id"), key.alias("key"), url.alias("url"), F.create_map(F.lit("status"), F.array(F.lit("N"))).alias("metadata"), refetch.alias("refetch"))
+
+
+MORE_SQL = f"""
+more_of AS (SELECT crawl_id, key, url, CAST(regexp_extract(url, '/o/([0-9]+)$', 1) AS BIGINT) AS n FROM urls),
+more_sorts AS (SELECT *, n % 24 // 3 AS sort FROM more_of WHERE n % 3 = 0),
+more_twice AS (SELECT *, 0 AS again FROM more_sorts UNION ALL SELECT *, 1 FROM more_sorts WHERE sort = 3),
+more_items AS (SELECT n * 2 + again AS seq, CASE WHEN sort <> 6 THEN concat('i', CAST(n AS VARCHAR)) END AS id,
+    CASE WHEN sort IN (1, 2, 7) OR again = 1 THEN 'known' ELSE 'discovered' END AS kind,
+    CASE WHEN sort = 7 THEN 'DEFAULT' ELSE crawl_id END AS crawl_id,
+    CASE WHEN sort < 4 THEN key WHEN sort = 6 THEN concat('q_', CAST(n % 10 AS VARCHAR)) WHEN sort = 7 THEN concat('new', CAST(n AS VARCHAR), '.org') END AS key,
+    CASE WHEN sort = 3 THEN concat(url, '/new') WHEN sort = 4 THEN 'http://' WHEN sort = 6 THEN concat(url, '?x') WHEN sort = 7 THEN concat('http://new', CAST(n AS VARCHAR), '.org/') ELSE url END AS url,
+    CASE WHEN sort = 1 THEN {NOW + 100} + n WHEN again = 1 OR sort = 7 THEN {NOW + 5} ELSE 0 END AS refetch FROM more_twice),
+more_placed AS (SELECT *, row_number() OVER (PARTITION BY crawl_id, key, url ORDER BY seq) AS nth,
+    EXISTS (SELECT 1 FROM urls u WHERE u.crawl_id = i.crawl_id AND u.key = i.key AND u.url = i.url) AS there FROM more_items i)"""
+
+MORE_OK = "key IS NOT NULL AND (kind = 'known' OR (nth = 1 AND NOT there))"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlsched.functions import keys
 from crawlsched.operators import control, ingest, inspect, serve
-from crawlsched.plans.fixture import NOW, PUTS_SQL, STATE_SQL, due_sql, puts, read, state
+from crawlsched.plans.fixture import MORE_OK, MORE_SQL, NOW, PUTS_SQL, STATE_SQL, due_sql, more_puts, puts, read, state
 from crawlsched.schema import KEYS, METADATA, URL_KEYS
 from crawlsched.sources import dump
 from crawlsched.streaming.rates import ack_rate
@@ -18,7 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 URGENT, HIGH, MEDIUM = "1-URGENT", "2-HIGH", "3-MEDIUM"
-ONE_QUEUE = "cust-7.example.com"
+ONE_QUEUE = "cust-51.example.com"
 NODES = 3
 
 
@@ -106,7 +106,7 @@ def next_last_produced(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {due_sql(2, 50)}, b AS (SELECT min(rotation_pos) lo, max(rotation_pos) hi FROM queues),
     h AS (SELECT count(*) n, max(rotation_pos) last FROM first_queues)
     SELECT crawl_id, key, CASE WHEN n >= 50 THEN CASE WHEN rotation_pos <= last THEN rotation_pos + hi - lo + 1 ELSE rotation_pos END
-    WHEN rotation_pos = lo THEN hi + hi - lo + 2 ELSE rotation_pos + hi - lo + 1 END AS rotation_pos FROM queues, b, h""")
+    WHEN rotation_pos = lo THEN hi + 1 ELSE rotation_pos END AS rotation_pos FROM queues, b, h""")
 def next_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, sent = _due(spark, sf_dir, FIFTY)
     return serve.rotated(s.queues, sent, FIFTY).select(*KEYS, "rotation_pos")
@@ -181,9 +181,9 @@ def list_urls_filter_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plain(inspect.list_urls(state(spark, sf_dir).urls, URGENT, wanted="COM/O/12", ignore_case=True))
 
 
-@query(f"WITH {STATE_SQL} {_LIST} crawl_id = '{URGENT}' AND contains(url, 'COM/O/12') ORDER BY key, url LIMIT 100")
+@query(f"WITH {STATE_SQL} {_LIST} crawl_id = '{URGENT}' AND contains(url, 'com/o/12') ORDER BY key, url LIMIT 100")
 def list_urls_filter_cs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(inspect.list_urls(state(spark, sf_dir).urls, URGENT, wanted="COM/O/12"))
+    return _plain(inspect.list_urls(state(spark, sf_dir).urls, URGENT, wanted="com/o/12"))
 
 
 @query(f"WITH {STATE_SQL} {_LIST} crawl_id = '{HIGH}' AND key = '{ONE_QUEUE}' ORDER BY key, url LIMIT 100")
@@ -237,10 +237,17 @@ def all_nodes_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.all_active(read(spark, sf_dir, "nation").select((F.col("n_nationkey") != 3).alias("active")))
 
 
-@query(f"WITH {STATE_SQL} SELECT 'repeated_url' AS fault, (SELECT count(*) FROM (SELECT crawl_id, key, url FROM urls GROUP BY ALL HAVING count(*) > 1)) AS n UNION ALL SELECT 'url_without_queue', (SELECT count(*) FROM urls ANTI JOIN queues USING (crawl_id, key)) UNION ALL SELECT 'crawl_not_normalised', (SELECT count(*) FROM urls WHERE trim(crawl_id) = '')")
+_FAULTY = f"""{STATE_SQL}, bad_urls AS (SELECT crawl_id, key, url FROM urls UNION ALL SELECT crawl_id, key, url FROM urls WHERE contains(url, '/o/1') UNION ALL SELECT ' ', key, url FROM urls WHERE contains(url, '/o/2')
+    UNION ALL SELECT crawl_id, concat('lost-', key), url FROM urls WHERE contains(url, '/o/3'))"""
+
+
+@query(f"WITH {_FAULTY} SELECT 'repeated_url' AS fault, (SELECT count(*) FROM (SELECT crawl_id, key, url FROM bad_urls GROUP BY ALL HAVING count(*) > 1)) AS n UNION ALL SELECT 'url_without_queue', (SELECT count(*) FROM bad_urls ANTI JOIN queues USING (crawl_id, key)) UNION ALL SELECT 'crawl_not_normalised', (SELECT count(*) FROM bad_urls WHERE trim(crawl_id) = '')")
 def state_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of a state with repeated URLs, crawls without a name and URLs without a queue."""
     s = state(spark, sf_dir)
-    return inspect.check(s.urls, s.queues)
+    has = lambda n: s.urls.filter(F.contains("url", F.lit(f"/o/{n}")))
+    bad = s.urls.unionByName(has(1)).unionByName(has(2).withColumn("crawl_id", F.lit(" "))).unionByName(has(3).withColumn("key", F.concat(F.lit("lost-"), "key")))
+    return inspect.check(bad, s.queues)
 
 
 # Ingest
@@ -302,14 +309,60 @@ def released_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.release(s.leases, s.urls.filter(F.contains("url", F.lit("/o/1"))))
 
 
-@query(f"""WITH {STATE_SQL} SELECT crawl_id, key, rotation_pos > (SELECT max(rotation_pos) FROM queues) AS at_tail FROM queues
-    UNION ALL SELECT DISTINCT 'DEFAULT', {_KEY_SQL}, TRUE FROM pages WHERE {_KEY_SQL} IS NOT NULL""")
+@query(f"""WITH {STATE_SQL}, p AS (SELECT page_id, {_KEY_SQL} AS key FROM pages), f AS (SELECT key, row_number() OVER (ORDER BY min(page_id)) AS nth FROM p WHERE key IS NOT NULL GROUP BY key)
+    SELECT crawl_id, key, rotation_pos FROM queues UNION ALL SELECT 'DEFAULT', key, (SELECT max(rotation_pos) FROM queues) + nth FROM f""")
 def add_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queues once the pages were put: each new one behind all that were there."""
+    """Queues once the pages were put: new ones at the tail, in the order in which they came."""
     s = state(spark, sf_dir)
-    b = _batches(spark, sf_dir)
-    tail = s.queues.agg(F.max("rotation_pos").alias("m")).scalar()
-    return ingest.add_queues(s.queues, ingest.batch_items(b)).select(*KEYS, (F.col("rotation_pos") > tail).alias("at_tail"))
+    return ingest.add_queues(s.queues, ingest.batch_items(_batches(spark, sf_dir))).select(*KEYS, "rotation_pos")
+
+
+# Ingest into a state that is there
+
+
+@query(f"WITH {STATE_SQL}, {MORE_SQL} SELECT seq, coalesce(id, url) AS id, kind, CASE WHEN {MORE_OK} THEN 'OK' ELSE 'SKIPPED' END AS status FROM more_placed")
+def put_more_acks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items for URLs that are there, scheduled and completed, for new ones, and with keys that can't be taken."""
+    return ingest.put(more_puts(spark, sf_dir), state(spark, sf_dir).urls, NOW).acks
+
+
+@query(f"WITH {STATE_SQL}, {MORE_SQL} SELECT kind, CASE WHEN {MORE_OK} THEN 'OK' ELSE 'SKIPPED' END AS status, count(*) AS n FROM more_placed GROUP BY ALL")
+def put_more_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.summary(ingest.put(more_puts(spark, sf_dir), state(spark, sf_dir).urls, NOW).acks)
+
+
+@query(f"""WITH {STATE_SQL}, {MORE_SQL}, ok AS (SELECT * FROM more_placed WHERE {MORE_OK}),
+    last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY crawl_id, key, url ORDER BY seq DESC) AS back FROM ok) WHERE back = 1)
+    SELECT crawl_id, key, url, CASE WHEN l.url IS NULL THEN u.status WHEN l.kind = 'known' AND l.refetch = 0 THEN NULL ELSE 'N' END AS status,
+    CASE WHEN l.url IS NULL THEN u.refetch WHEN l.kind = 'known' THEN l.refetch ELSE {NOW} END AS refetch, coalesce(u.creation_date, {NOW}) AS creation_date
+    FROM urls u FULL JOIN last l USING (crawl_id, key, url)""")
+def put_more_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All URLs after these items: dates of creation stay, completed ones lose their metadata."""
+    urls = state(spark, sf_dir).urls
+    return _plain(ingest.upsert(urls, ingest.put(more_puts(spark, sf_dir), urls, NOW).changed))
+
+
+@query(f"""WITH {STATE_SQL}, {MORE_SQL}, f AS (SELECT crawl_id, key, row_number() OVER (ORDER BY min(seq)) AS nth FROM more_placed m
+    WHERE key IS NOT NULL AND NOT EXISTS (SELECT 1 FROM queues q WHERE q.crawl_id = m.crawl_id AND q.key = m.key) GROUP BY crawl_id, key)
+    SELECT crawl_id, key, (SELECT max(rotation_pos) FROM queues) + nth AS rotation_pos FROM f""")
+def put_more_queues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queues that these items name first, in the order of their arrival."""
+    q = state(spark, sf_dir).queues
+    return ingest.new_queues(q, more_puts(spark, sf_dir), q.agg(F.max("rotation_pos").alias("m")).scalar()).select(*KEYS, "rotation_pos")
+
+
+@query(f"""WITH {STATE_SQL}, {MORE_SQL} SELECT crawl_id, key, url, CAST(held_until AS BIGINT) AS held_until FROM urls u WHERE held_until > -1
+    AND NOT EXISTS (SELECT 1 FROM more_placed m WHERE m.kind = 'known' AND m.crawl_id = u.crawl_id AND m.key = u.key AND m.url = u.url)""")
+def put_more_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leases after these items: those of updated URLs are released."""
+    s = state(spark, sf_dir)
+    return ingest.release(s.leases, ingest.put(more_puts(spark, sf_dir), s.urls, NOW).changed)
+
+
+@query(f"WITH {STATE_SQL}, {MORE_SQL} SELECT seq, coalesce(id, url) AS id, crawl_id, key, url FROM more_items")
+def put_more_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with crawl, key and identifier filled in; null keys for what can't be taken."""
+    return ingest.normalised(more_puts(spark, sf_dir)).select("seq", "id", "crawl_id", "key", "url")
 
 
 # Control and deletion

@@ -25,8 +25,8 @@ def put_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 
 def start(frontier: Frontier, puts: DataFrame, checkpoint: str, acks: str | None = None, source: str = "stream", trigger: dict | None = None, crawl_id: str = "", clock: Callable[[], int] = lambda: int(time.time())) -> StreamingQuery:
-    """Fold every micro-batch of put items, or of lines (read as items of ``crawl_id``), into ``frontier``. The number of the micro-batch is part of the commit, so one that is
-    replayed after a failure changes nothing. Acknowledgements go to ``acks``/epoch=N, which a replay leaves alone."""
+    """Fold every micro-batch of put items, or of lines (read as items of ``crawl_id``), into ``frontier``. The number of the micro-batch and its acknowledgements are part of the commit, so one that is
+    replayed after a failure changes nothing and gives the same acknowledgements, which go to ``acks``/epoch=N."""
 
     def fold(batch: DataFrame, epoch: int) -> None:
         if "seq" not in batch.columns:  # numbers for lines can only be given within a micro-batch

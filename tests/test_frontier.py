@@ -194,6 +194,108 @@ def test_commits_conflict(spark, tmp_path):
         store.commit(m)
 
 
+def test_one_writer_wins(spark, tmp_path):
+    """Of writers that start from one version at the same time, one commits."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = Store(spark, str(tmp_path / "s"))
+    m = store.load()
+
+    def write(n):
+        try:
+            return store.commit(m, settings=m.settings | {"default_delay": n}).settings["default_delay"]
+        except Conflict:
+            return None
+
+    with ThreadPoolExecutor(8) as pool:
+        won = [x for x in pool.map(write, range(8)) if x is not None]
+    assert len(won) == 1 and store.load().settings["default_delay"] == won[0]
+
+
+def test_a_dead_writers_claim_is_taken_over(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"))
+    store._claim(1)
+    with pytest.raises(Conflict):
+        store.commit(store.load())
+    monkeypatch.setattr("crawlsched.sources.store.CLAIM_SECONDS", -1)
+    assert store.commit(store.load()).version == 1
+
+
+def test_a_change_writes_one_shard(spark, tmp_path, frontier):
+    frontier.put_urls(items(spark, [("discovered", "", f"q{i}", f"http://q{i}/{k}", None) for i in range(40) for k in range(3)]), NOW)
+    files = lambda: {str(p.relative_to(tmp_path)): p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    before, old = files(), frontier.store.load()
+    frontier.set_delay(7, "q5")
+    new = frontier.store.load()
+    added = set(files()) - set(before)
+    assert len(added) == 1 and all("queues/" in p for p in added) and set(before) <= set(files())
+    assert sum(old.tables["queues"][s] != new.tables["queues"][s] for s in new.tables["queues"]) == 1
+    assert new.tables["urls"] == old.tables["urls"] and {r.key: r.delay for r in frontier.queue_table().collect()} == {f"q{i}": 7 if i == 5 else -1 for i in range(40)}
+    # A put of one item adds one row to one shard of urls, and is read back through the delta.
+    frontier.put_urls(items(spark, [("known", "", "q5", "http://q5/0", 0), ("discovered", "", "q5", "http://q5/9", None)]), NOW + 1)
+    last = frontier.store.load()
+    assert [p[-1][1] for s, p in last.tables["urls"].items() if new.tables["urls"][s] != p] == [2]
+    assert frontier.count_urls(key="q5") == 4 and frontier.url_status("http://q5/0", "q5")["refetch"] == 0
+    assert frontier.statistics().filter("table = 'urls'").agg({"delta_rows": "sum"}).first()[0] == 2
+
+
+def test_deltas_equal_whole_rewrites(spark, tmp_path):
+    """Random puts, serves, controls and deletions over shards with deltas, against the same calls with none."""
+    rng, states = random.Random(8), []
+    calls = []
+    for n in range(10):
+        calls.append(("put", [(rng.choice(["discovered", "known"]), "", f"q{rng.randrange(4)}", f"http://h/{rng.randrange(9)}", rng.choice([0, NOW + 5])) for _ in range(4)]))
+        calls.append((rng.choice(["get", "delay", "purge", "delete"]), n))
+    for share in (100.0, -1.0):  # never compacted by size, and always
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr("crawlsched.sources.store.DELTA_SHARE", share)
+            f = Frontier(spark, str(tmp_path / f"s{share}"), shards=2)
+            for n, (what, arg) in enumerate(calls):
+                if what == "put":
+                    f.put_urls(items(spark, arg), NOW + n)
+                elif what == "get":
+                    f.get_urls(Get(1, max_queues=2), NOW + 100 + n)
+                elif what == "delay":
+                    f.set_delay(arg, "q1")
+                elif what == "purge":
+                    f.purge_urls("", 0, "q2", NOW + n)
+                else:
+                    f.delete_queue("q3")
+            m = f.store.load()
+            states.append([sorted(map(str, f.store.read(m, t).drop("metadata").filter("held_until > 0" if t == "leases" else "true").collect())) for t in ("urls", "queues")])
+            assert {r.n for r in f.check().collect()} == {0}
+            f.reshard(3)
+            assert sorted(map(str, f.store.urls(f.store.load()).drop("metadata").collect())) == states[-1][0]
+    assert states[0] == states[1] and states[0][0]
+
+
+def test_new_queues_stand_in_the_order_of_arrival(spark, frontier):
+    frontier.put_urls(items(spark, [("discovered", "", k, f"http://{k}/{i}", None) for i in range(2) for k in ("k3", "k0", "k5", "k1", "k4", "k2")]), NOW)
+    frontier.put_urls(items(spark, [("discovered", "", k, f"http://{k}/", None) for k in ("k9", "k0", "k7", "k8")]), NOW)
+    assert [(r.key, r.rotation_pos) for r in frontier.queue_table().orderBy("rotation_pos").collect()] == [(k, i) for i, k in enumerate(("k3", "k0", "k5", "k1", "k4", "k2", "k9", "k7", "k8"))]
+
+
+def test_acknowledgements_survive_a_crash(spark, tmp_path, frontier):
+    """A stream that dies between the commit and its acknowledgements gives them when it runs again."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.txt").write_text("http://a.com/1\nhttp://a.com/2\n")
+    first = frontier.put_urls(puts.read_puts(spark, str(tmp_path / "in")), NOW, "stream", 0)  # and then nothing more
+    stream.start(frontier, stream.line_stream(spark, str(tmp_path / "in")), str(tmp_path / "ckpt"), str(tmp_path / "acks"), clock=lambda: NOW).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "acks"))
+    assert sorted((r.id, r.status) for r in got.collect()) == sorted((r.id, r.status) for r in first.collect()) and got.count() == 2
+    assert frontier.count_urls() == 2
+    frontier.put_urls(items(spark, [("discovered", "", "", "http://b.com/", None)]), NOW, "other")
+    assert frontier.store.vacuum() > 0 and len(list((tmp_path / "state" / "results").iterdir())) == 1  # the last epoch's
+    assert frontier.put_urls(items(spark, []), NOW, "stream", 0).count() == 2
+
+
+def test_metrics(spark, frontier):
+    frontier.put_urls(items(spark, [("discovered", "", "q", "http://q/1", None), ("discovered", "", "q", "http://q/1", None), ("known", "", "q", "http://q/2", 0)]), NOW)
+    frontier.get_urls(Get(5), NOW + 5)
+    got = dict(frontier.metrics)
+    assert got.pop("get_seconds") > 0 and got == {"put_calls": 1, "discovered": 1, "ignored": 1, "completed": 1, "get_calls": 1, "get_urls": 1}
+
+
 def test_fold_equals_replay(spark):
     """Random items with repeated URLs, folded in two calls, against one at a time."""
     rng = random.Random(5)
@@ -237,6 +339,15 @@ def test_dump_round_trip(spark, tmp_path, frontier):
     assert spark.read.text(str(tmp_path / "one")).count() == 1
 
 
+def test_gzipped_lines(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt.gz").write_bytes(gzip.compress("http://a.com/1\nhttp://ü.com/\n".encode()))
+    (tmp_path / "in" / "b.txt").write_text("http://b.com/\n")
+    assert sorted(r.url for r in puts.read_puts(spark, str(tmp_path / "in")).collect()) == ["http://a.com/1", "http://b.com/", "http://ü.com/"]
+
+
 def test_mixed_lines(spark, tmp_path):
     (tmp_path / "in.txt").write_text('  http://a.com/1 \n{"known": {"info": {"url": "http://b.com/", "crawlID": "z"}, "refetchableFromDate": 12}, "ID": "i"}\n{broken\n{}\n{"discovered": {"info": {"url": "u", "metadata": {"k": {"values": ["1", "2"]}}}}}\n')
     rows = puts.read_puts(spark, str(tmp_path / "in.txt"), "mine").orderBy("seq").collect()
@@ -255,7 +366,8 @@ def test_stream(spark, tmp_path, frontier):
     assert frontier.count_urls() == 3
     acks = spark.read.parquet(str(tmp_path / "acks"))
     assert {r.status: r["count"] for r in acks.groupBy("status").count().collect()} == {"OK": 3, "SKIPPED": 1}
-    assert frontier.put_urls(items(spark, [("discovered", "", "", "http://c.com/", None)]), NOW, "stream", 0).count() == 0  # a replayed batch
+    assert frontier.put_urls(items(spark, [("discovered", "", "", "http://c.com/", None)]), NOW, "stream", 1).count() == 2  # a replayed batch gives what the first one gave
+    assert frontier.put_urls(items(spark, [("discovered", "", "", "http://c.com/", None)]), NOW, "stream", 0).count() == 0
     assert frontier.count_urls() == 3
     assert ack_rate(acks, "1 day").agg({"n": "sum"}).first()[0] == 4
 
