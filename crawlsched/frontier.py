@@ -134,8 +134,8 @@ class Frontier:
 
     # Inspection
 
-    def list_urls(self, crawl_id: str | None = "", key: str = "", start: int = 0, size: int = 0, wanted: str | None = None, ignore_case: bool = False) -> DataFrame:
-        return inspect.list_urls(self._urls(crawl_id, key), crawl_id, key, start, size, wanted, ignore_case)
+    def list_urls(self, crawl_id: str | None = "", key: str = "", start: int = 0, size: int = 0, wanted: str | None = None, ignore_case: bool = False, after: tuple[str, str] | None = None) -> DataFrame:
+        return inspect.list_urls(self._urls(crawl_id, key), crawl_id, key, start, size, wanted, ignore_case, after)
 
     def count_urls(self, crawl_id: str | None = "", key: str = "", wanted: str | None = None, ignore_case: bool = False) -> int:
         return inspect.count_urls(self._urls(crawl_id, key), crawl_id, key, wanted, ignore_case).first()["n"]
@@ -148,9 +148,9 @@ class Frontier:
         _, urls, queues, leases = self._state(self._of(crawl_id, key) if crawl_id is not None else None)
         return inspect.stats(urls, queues, leases, int(time.time()) if now is None else now, crawl_id, key)
 
-    def list_queues(self, crawl_id: str | None = "", start: int = 0, size: int = 0, include_inactive: bool = False, now: int | None = None) -> DataFrame:
+    def list_queues(self, crawl_id: str | None = "", start: int = 0, size: int = 0, include_inactive: bool = False, now: int | None = None, after: str = "") -> DataFrame:
         _, urls, queues, _ = self._state()
-        return inspect.list_queues(queues, urls, int(time.time()) if now is None else now, crawl_id, start, size, include_inactive)
+        return inspect.list_queues(queues, urls, int(time.time()) if now is None else now, crawl_id, start, size, include_inactive, after)
 
     def list_crawls(self) -> DataFrame:
         return inspect.list_crawls(self.store.queues(self.store.load()))

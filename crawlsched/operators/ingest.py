@@ -130,3 +130,10 @@ def batch_acks(batches: DataFrame, acks: DataFrame) -> DataFrame:
 def summary(acks: DataFrame) -> DataFrame:
     """Items by kind and status."""
     return acks.groupBy("kind", "status").agg(F.count("*").alias("n"))
+
+
+def averages(acks: DataFrame) -> DataFrame:
+    """kind, n, per_second of timed acknowledgements (``ts``): items over the whole seconds from the first to the last, 1
+    at least."""
+    seconds = F.greatest(F.lit(1), F.unix_seconds(F.max("ts")) - F.unix_seconds(F.min("ts")))
+    return acks.groupBy("kind").agg(F.count("*").alias("n"), (F.count("*") / seconds).alias("per_second"))

@@ -26,9 +26,13 @@ def select_urls(urls: DataFrame, crawl_id: str | None = "", key: str = "", wante
     return df.filter(url_filter(F.col("url"), wanted, ignore_case))
 
 
-def list_urls(urls: DataFrame, crawl_id: str | None = "", key: str = "", start: int = 0, size: int = 0, wanted: str | None = None, ignore_case: bool = False) -> DataFrame:
-    """A page of URLs, whatever their schedule, by key and URL. ``start`` counts rows that pass the filter."""
-    return select_urls(urls, crawl_id, key, wanted, ignore_case).orderBy("key", "url").offset(start).limit(size or DEFAULT_PAGE)
+def list_urls(urls: DataFrame, crawl_id: str | None = "", key: str = "", start: int = 0, size: int = 0, wanted: str | None = None, ignore_case: bool = False, after: tuple[str, str] | None = None) -> DataFrame:
+    """A page of URLs, whatever their schedule, by key and URL. ``start`` counts rows that pass the filter; ``after``
+    (key and URL of the last row of the page before) goes on without counting: each task keeps its ``size`` first rows."""
+    found = select_urls(urls, crawl_id, key, wanted, ignore_case)
+    if after is not None:
+        found = found.filter((F.col("key") > after[0]) | ((F.col("key") == after[0]) & (F.col("url") > after[1])))
+    return found.orderBy("key", "url").offset(start).limit(size or DEFAULT_PAGE)
 
 
 def count_urls(urls: DataFrame, crawl_id: str | None = "", key: str = "", wanted: str | None = None, ignore_case: bool = False) -> DataFrame:
@@ -82,16 +86,22 @@ def as_message(one: DataFrame) -> DataFrame:
     return one.select("crawl_id", "size", "in_process", "number_of_queues", F.create_map(F.lit("completed"), "completed", F.lit("active_queues"), "active_queues").alias("counts"))
 
 
-def list_queues(queues: DataFrame, urls: DataFrame, now: int, crawl_id: str | None = "", start: int = 0, size: int = 0, include_inactive: bool = False) -> DataFrame:
+def list_queues(queues: DataFrame, urls: DataFrame, now: int, crawl_id: str | None = "", start: int = 0, size: int = 0, include_inactive: bool = False, after: str = "") -> DataFrame:
     """A page of queues of a crawl by key; unless ``include_inactive``, without those that are blocked or have no
-    scheduled URL, due or not. ``start`` counts queues that match."""
-    q = queues.filter(F.col("crawl_id") == crawl_name(crawl_id))
+    scheduled URL, due or not. ``start`` counts queues that match, ``after`` is the last key of the page before."""
+    q = queues.filter((F.col("crawl_id") == crawl_name(crawl_id)) & (F.col("key") > after))
     if not include_inactive:
         own = urls.filter((F.col("crawl_id") == crawl_name(crawl_id)) & (F.col("refetch") != 0))
         q = q.filter(~(F.col("blocked_until") >= now)).join(own.select(*KEYS), KEYS, "left_semi")
     return q.select(*KEYS).orderBy("key").offset(start).limit(size or DEFAULT_PAGE)
 
 
+def queue_sizes(queues: DataFrame, urls: DataFrame) -> DataFrame:
+    """crawl_id, key, size: all queues with how many URLs they hold, completed ones too."""
+    held = urls.groupBy(*KEYS).agg(F.count("*").alias("size"))
+    return queues.select(*KEYS).join(held, KEYS, "left").fillna(0, ["size"])
+
+
 def list_crawls(queues: DataFrame) -> DataFrame:
     return queues.select("crawl_id").distinct()
 

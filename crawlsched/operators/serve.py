@@ -131,6 +131,16 @@ def rotated(queues: DataFrame, sent: DataFrame, get: Get) -> DataFrame:
     return q.select(*[new.alias(c) if c == "rotation_pos" else F.col(c) for c in queues.columns])
 
 
+def first_queue(queues: DataFrame) -> DataFrame:
+    """The queue at the head of the rotation: the one that is served next. No row if there are none."""
+    return queues.orderBy("rotation_pos").limit(1)
+
+
+def without_first(queues: DataFrame) -> DataFrame:
+    """What is left when the head of the rotation is taken out."""
+    return queues.filter(F.col("rotation_pos") > queues.agg(F.min("rotation_pos").alias("m")).scalar())
+
+
 def moved(queues: DataFrame, sent: DataFrame, now: int, get: Get) -> DataFrame:
     """The rows of ``queues`` that a serve changes, as they are after it."""
     state = F.struct("last_produced", "rotation_pos")

@@ -452,6 +452,75 @@ def partition_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inspect.owners(state(spark, sf_dir).queues, NODES).withColumn("node", F.col("node").cast("long"))
 
 
+@query(f"WITH {STATE_SQL}, {MORE_SQL} SELECT seq, CAST({_NODE} AS BIGINT) AS node FROM more_items q WHERE key IS NOT NULL")
+def puts_by_node(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node that each item goes to."""
+    items = ingest.normalised(more_puts(spark, sf_dir)).filter("key is not null")
+    return items.select("seq", keys.partition_for(F.col("crawl_id"), F.col("key"), NODES).cast("long").alias("node"))
+
+
+@query(f"WITH {STATE_SQL} SELECT crawl_id, key, url, status, refetch, creation_date FROM urls WHERE crawl_id = '{HIGH}' AND (key > 'cust-2' OR (key = 'cust-2' AND url > 'https://')) ORDER BY key, url LIMIT 50")
+def list_urls_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page behind a given key and URL."""
+    return _plain(inspect.list_urls(state(spark, sf_dir).urls, HIGH, size=50, after=("cust-2", "https://")))
+
+
+@query(f"WITH {STATE_SQL} SELECT crawl_id, key FROM queues WHERE crawl_id = '{URGENT}' AND key > 'cust-2' ORDER BY key LIMIT 100")
+def list_queues_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = state(spark, sf_dir)
+    return inspect.list_queues(s.queues, s.urls, NOW, URGENT, include_inactive=True, after="cust-2")
+
+
+@query(f"WITH {STATE_SQL} SELECT q.crawl_id, q.key FROM queues q JOIN counts USING (crawl_id, key) WHERE q.crawl_id = '{MEDIUM}' AND NOT blocked_until >= {NOW} AND active > 0 ORDER BY q.key LIMIT 60")
+def list_queues_merged_over_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page of each node's queues, merged to one page."""
+    s = state(spark, sf_dir)
+    node = keys.partition_for(F.col("crawl_id"), F.col("key"), NODES)
+    pages = [inspect.list_queues(s.queues.filter(node == n), s.urls, NOW, MEDIUM, size=60) for n in range(NODES)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).orderBy("key").limit(60)
+
+
+@query(f"WITH {STATE_SQL} SELECT q.crawl_id, q.key, CAST(coalesce(c.active + c.completed, 0) AS BIGINT) AS size FROM queues q LEFT JOIN counts c USING (crawl_id, key)")
+def queue_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = state(spark, sf_dir)
+    return inspect.queue_sizes(s.queues, s.urls)
+
+
+@query(f"WITH {STATE_SQL} SELECT crawl_id, key, rotation_pos FROM queues ORDER BY rotation_pos LIMIT 1")
+def first_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return serve.first_queue(state(spark, sf_dir).queues).select(*KEYS, "rotation_pos")
+
+
+@query(f"WITH {STATE_SQL} SELECT crawl_id, key, rotation_pos FROM queues ORDER BY rotation_pos OFFSET 1")
+def poll_first_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rotation without its head."""
+    return serve.without_first(state(spark, sf_dir).queues).select(*KEYS, "rotation_pos")
+
+
+@query(f"""WITH {STATE_SQL} SELECT q.crawl_id, q.key, CASE WHEN q.blocked_until >= {NOW} THEN 'blocked' WHEN q.crawl_limit > 0 AND c.completed >= q.crawl_limit THEN 'limit'
+    WHEN NOT q.last_produced + CASE WHEN q.delay = -1 THEN 40 ELSE q.delay END < {NOW} THEN 'delay' END AS closed FROM queues q JOIN counts c USING (crawl_id, key)""")
+def queue_gate_default_delay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed queues under a default delay of forty seconds."""
+    s = state(spark, sf_dir)
+    return serve.gate(s.queues, s.urls, s.leases, NOW, serve.Get(), 40).select(*KEYS, "closed")
+
+
+_UNDATED = "CASE WHEN strpos(url, '/o/1') > 0 THEN 0 ELSE creation_date END"
+
+
+@query(f"WITH {STATE_SQL} SELECT crawl_id, key, url, {_UNDATED} AS creation_date FROM urls WHERE NOT (crawl_id = '{MEDIUM}' AND {_UNDATED} < {NOW - 30 * 86400})")
+def purge_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A purge takes URLs without a date of creation (0) as well."""
+    urls = state(spark, sf_dir).urls
+    dated = urls.withColumn("creation_date", F.when(F.contains("url", F.lit("/o/1")), F.lit(0).cast("long")).otherwise(F.col("creation_date")))
+    return control.purge(dated, MEDIUM, NOW, 30).select(*URL_KEYS, "creation_date")
+
+
+@query("SELECT event_type AS kind, count(*) AS n, count(*) / greatest(1, CAST(floor(epoch(max(ts))) AS BIGINT) - CAST(floor(epoch(min(ts))) AS BIGINT)) AS per_second FROM events GROUP BY event_type")
+def ack_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.averages(read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind")))
+
+
 # Sinks and rates
 
 

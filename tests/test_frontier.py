@@ -402,6 +402,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert run("list-queues")[1].out == "a.com\n" and run("list-crawls")[1].out == "DEFAULT\n"
     assert run("list-urls", "-n", "1")[1].out.startswith("http://a.com/1;")
     assert run("status", "-u", "http://none/")[0] == 1
+    assert run("list-queues", "-i")[1].out == "a.com\n" and run("log-level", "-l", "ERROR")[0] == 0
     run("set-active", "false")
     assert run("get-active")[1].out == "false\n" and run("nodes")[1].out == "local\n"
     assert run("limit", "-k", "none", "-l", "3")[0] == 1
