@@ -495,17 +495,57 @@ def katz_by_hand(rows, folds):
     return {i: (len(t), sum(one[w] > 0 for w in t), n, sum(math.log10((one[w] + 0.1) / (n + 0.1 * (len(one) + 1))) for w in t), sum(math.log10(p(h, w)) for h, w in zip([None, *t[:-1]], t, strict=True))) for i, t in tokens.items()}, p, p1, one, unknown
 
 
+def test_katz_of_order_three(spark, docs):
+    """The recursion written out over plain counts."""
+    rows = [(r.doc_id, r.text) for r in docs.filter("length(text) < 3000 or text is null").collect()]
+    tokens = {i: [*WORD.findall(lowered(t or "")), None] for i, t in rows}
+    count = {1: Counter(), 2: Counter(), 3: Counter()}
+    for i, t in tokens.items():
+        if not held(i, 10):
+            for k in count:
+                count[k].update(tuple(([None] * 2 + t)[j + 3 - k : j + 3]) for j in range(len(t)))
+    d = {k: good_turing(c) or [0.0, *(1 - 0.5 / r for r in range(1, 6))] for k, c in count.items()}
+    cut = lambda k, c: c * (d[k][c] if c <= 5 else 1.0)
+    n, after = count[1].total(), defaultdict(list)
+    for k in (2, 3):
+        for g in count[k]:
+            after[g[:-1]].append(g[-1])
+    weight = {}
+
+    def p(h, w):
+        if not h:
+            return cut(1, count[1][(w,)]) / n if count[1][(w,)] else 1 - sum(cut(1, c) for c in count[1].values()) / n
+        if h not in after:
+            return p(h[1:], w)
+        k = len(h) + 1
+        if h not in weight:
+            total = sum(count[k][(*h, x)] for x in after[h])
+            lost = total - sum(cut(k, count[k][(*h, x)]) for x in after[h])
+            whole = total if lost > 1e-9 else total + 0.5
+            weight[h] = whole, (lost if lost > 1e-9 else 0.5) / whole / (1 - sum(p(h[1:], x) for x in after[h]))
+        return cut(k, count[k][(*h, w)]) / weight[h][0] if count[k][(*h, w)] else weight[h][1] * p(h[1:], w)
+
+    d3 = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot in (katz.HOT_TOKENS, 3):
+        for r in katz.score(d3, order=3, hot_tokens=hot).collect():
+            t = [None, None, *tokens[r.doc_id]]
+            assert r.score == pytest.approx(sum(math.log10(p(tuple(t[j : j + 2]), t[j + 2])) for j in range(len(t) - 2)), rel=1e-6)
+    words = [g[0] for g in count[1]]
+    for h in [(None, None), (None, words[0]), *[g[:2] for g in list(count[3])[:3]]]:
+        assert sum(p(h, w) for w in words) + p(h, object()) == pytest.approx(1, abs=1e-9)
+
+
 def test_katz(spark, docs, odd, none):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     want, p, p1, one, unknown = katz_by_hand(rows, 10)
-    for r in katz.score(docs).collect():
+    for r in katz.score(docs, order=2).collect():
         n, known, train, base_, score = want[r.doc_id]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, train, held(r.doc_id, 10))
         assert r.base_score == pytest.approx(base_, rel=1e-9) and r.score == pytest.approx(score, rel=1e-6)
     for h in [None, *list(one)[:5]]:  # exactly normalised
         assert sum(p(h, w) for w in one) + p(h, object()) == pytest.approx(1, abs=1e-9)
     # With every history of over 3 tokens split over partitions the scores are the same.
-    split = {r.doc_id: r.score for r in katz.score(docs, hot_tokens=3).collect()}
+    split = {r.doc_id: r.score for r in katz.score(docs, order=2, hot_tokens=3).collect()}
     assert all(split[i] == pytest.approx(want[i][4], rel=1e-6) for i in want)
     got = {r.doc_id: r for r in katz.score(odd).collect()}
     assert got[1].n_tokens == got[2].n_tokens == 1 and all(math.isfinite(r.score) for r in got.values())
@@ -547,29 +587,32 @@ def test_katz_discounts():
 # 7
 
 
-def test_packing(spark, docs, odd, none):
+def packed_well(out, docs):
+    """Pieces, offsets and the number of sequences of packed documents, from the tokenizer itself."""
     from tokenizers import Tokenizer
 
-    tok = Tokenizer.from_file(queries.tokenizer())
-    for d in (docs, odd):
-        out = packing.pack_documents(d, queries.tokenizer()).collect()
-        want = Counter()
-        for r in d.collect():
-            ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
-            for k in range(0, len(ids), 4096):
-                own = ids[k : k + 4096]
-                want[r.doc_id, k // 4096, k, len(own), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))] += 1
-        assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
-        bins = defaultdict(list)
-        for r in out:
-            bins[r.sequence_id].append((r.offset, r.length))
-        for own in bins.values():
-            at = 0
-            for offset, length in sorted(own):
-                assert offset == at
-                at += length
-            assert at <= 4096
-        assert len(bins) <= math.ceil(sum(r.length for r in out) / 4096) + 2
+    tok, want, bins = Tokenizer.from_file(queries.tokenizer()), Counter(), defaultdict(list)
+    for r in docs:
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 1]
+        for k in range(0, len(ids), 4096):
+            own = ids[k : k + 4096]
+            want[r.doc_id, k // 4096, k, len(own), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in out) == want
+    for r in out:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(bins) <= math.ceil(sum(r.length for r in out) / 4096) + 2
+
+
+def test_packing(spark, docs, odd, none):
+    long = spark.createDataFrame([(1, "word " * 9000), (1, "word " * 9000), (2, "word " * 4095)], "doc_id long, text string")
+    for d in (docs, odd, long):
+        packed_well(packing.pack_documents(d, queries.tokenizer()).collect(), d.collect())
     assert packing.pack_documents(none, queries.tokenizer()).count() == 0
 
 
@@ -704,18 +747,32 @@ def test_oracle(spark, name):
 
 
 def test_pipeline(spark, docs):
+    """Every stage by brute force on what the one before it kept."""
     import corpus_pipeline as cp
 
     assert [n for n, _ in cp.STAGES] == ["quality classifier", "near duplicates", "pseudonyms", "mixing", "packing"]
-    out = cp.run(spark, SF)
-    ids = {r.doc_id for r in docs.select("doc_id").collect()}
-    got = out.select("doc_id", "sequence_id", "length").collect()
-    assert got and {r.doc_id for r in got} <= ids
-    fill = Counter()
-    for r in got:
-        fill[r.sequence_id] += r.length
-    assert max(fill.values()) <= 4096
-    kept = cp.quality(spark, docs, SF)
-    assert kept.columns == docs.columns
-    once = cp.near_duplicates(spark, docs, SF)
-    assert {r.doc_id for r in once.collect()} == {r.class_id for r in neardup.classes(docs).collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    before, tables = docs, []
+    for name, stage in cp.STAGES:
+        rows = stage(spark, before, SF).collect()
+        tables.append(rows)
+        if name != "packing":
+            before = spark.createDataFrame(rows, docs.schema)
+    quality, once, hidden, mixed, packed = tables
+    good = {r.doc_id for r in byte_cnn.classify(docs, labels).collect() if r.score >= 0.3}
+    assert {r.doc_id for r in quality} == good and Counter(quality) == Counter(r for r in docs.collect() if r.doc_id in good)
+    pairs = [(r.doc_id, r.text) for r in quality]
+    name = Near(pairs).classes(pairs)
+    assert Counter(once) == Counter(r for r in quality if name[r.doc_id] == r.doc_id)
+    back = pii.invert(spark.createDataFrame(hidden, docs.schema)).collect()
+    assert {r.doc_id: r.text for r in back} == {r.doc_id: r.text for r in once}
+    assert all(r.n_chars == len(r.text) for r in hidden if r.text is not None) and len(hidden) == len(once)
+    size = lambda r: len(WORD.findall(r.text or ""))
+    sources = sorted({r.source for r in hidden if r.source is not None}, key=str.encode) + ([None] if any(r.source is None for r in hidden) else [])
+    own = [sum(size(r) for r in hidden if r.source == s) for s in sources]
+    want = mixing.targets(own, [(1, 2, 3)[i % 3] for i in range(len(sources))], sum(own), 3)
+    for s, w in zip(sources, want, strict=True):
+        assert abs(sum(size(r) for r in mixed if r.source == s) - w) <= 3 * mixing.BLOCK_WORDS
+    assert {r.doc_id for r in mixed} <= {r.doc_id for r in hidden} and max(Counter(r.doc_id for r in mixed).values()) <= 4
+    packed_well(packed, mixed)
+    assert cp.run(spark, SF).count() == len(packed)
