@@ -32,8 +32,8 @@ from crawlsched.llm.shared import Scratch
 CAPACITY = 4096
 END = 1
 PART_ROWS = 1 << 18
-CACHE_CHUNKS = 800_000
-CACHE_WORDS = 800_000
+CACHE_CHUNKS = 400_000
+CACHE_WORDS = 400_000
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _ODD = re.compile("[\t\n\r ]+")
