@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from crawlsched.llm.sample import bounded
 from crawlsched.llm.shared import fold
@@ -168,14 +169,14 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                p = net.value.score([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column(2)])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= least).astype(np.int32)), *part.columns[3:]], names=names)
+                texts = part.column(2).field(keep.index(text)) if inside else part.column(2)
+                p = net.value.score([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in texts])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(p), pa.array((p >= least).astype(np.int32)), *part.columns[2 if inside else 3 :]], names=names)
 
     names = ["doc_id", "held_out", "score", "predicted", *(["row"] if keep else [])]
-    asked = d.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "text", *(["row"] if keep else []))
+    inside = text in keep and docs.schema[text].dataType == StringType()  # then the text need not travel twice
+    asked = d.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), *([] if inside else ["text"]), *(["row"] if keep else []))
     schema = "doc_id long, held_out boolean, score double, predicted int"
     if keep:
-        from pyspark.sql.types import StructType
-
         schema = StructType.fromDDL(schema).add(asked.schema["row"])
     return asked.mapInArrow(predict, schema)
