@@ -39,6 +39,7 @@ from crawlsched.llm.textarrays import buffers, mix, runs, spans, words
 
 LARGE = 5
 BLOCK_TOKENS = 1 << 20
+BLOCKS_AT_ONCE = 4
 PART_TOKENS = 1_000_000
 HOT_TOKENS = PART_TOKENS // 8
 END = np.uint64(1)
@@ -155,11 +156,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     spark, keep = docs.sparkSession, Scratch(docs.sparkSession, "katz")
     b0 = keep.keep(blocks(docs, doc_id, text, folds), "blocks")
     out_schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    total, train_tokens = b0.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
+    total, train_tokens, many = b0.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0)), F.count("*")).first()
     if not total:
         return spark.createDataFrame([], out_schema)
     parts = max(16, -(-total // PART_TOKENS))
     hot = max(hot_tokens, total >> 16)
+    together = -(-many // BLOCKS_AT_ONCE)  # partitions of blocks, whatever the session's number
 
     # Words: each block asks the owner of a hash for the corpus count and the number of the word.
     def ask_words(batches):
@@ -183,7 +185,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         return pa.Table.from_pylist(out, pa.schema([("block", pa.string()), ("p", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]))
 
     asked = b0.mapInArrow(ask_words, "p int, block string, words binary, counts binary").repartition(parts, "p")
-    replies = keep.keep(asked.groupBy("p").applyInArrow(answer_words, "block string, p int, ids binary, counts binary, stats array<long>"), "words")
+    replies = keep.keep(asked.groupBy("p").applyInArrow(answer_words, "block string, p int, ids binary, counts binary, stats array<long>"), "words", BLOCKS_AT_ONCE)
     stats = np.array([r.stats for r in replies.filter("block is null").select("stats").collect()]).sum(0)  # a row for each part
     types, seen_n = int(stats[0]), [int(x) for x in stats[1 : LARGE + 2]]
     d1 = discounts(seen_n)
@@ -196,8 +198,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     def unigram(c: np.ndarray) -> np.ndarray:
         return np.where(c > 0, discounted(c, d1) / max(denominator, 1), unknown)
 
-    listed = replies.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "ids", "counts"))).alias("replies"))
-    joined = b0.join(listed, "block")
+    listed = replies.filter("block is not null").repartition(together, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "ids", "counts"))).alias("replies"))
+    joined = b0.repartition(together, "block").join(listed, "block")
     lean = "block string, doc_ids array<long>, held array<boolean>, ids binary, counts binary, stream binary, ends binary"
 
     def number(batches):
@@ -212,14 +214,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                     counts[own] = take(r["counts"], np.uint64)
                 yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("block", "doc_ids", "held", "stream", "ends")} | {"ids": put(ids), "counts": put(counts)}], pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("ends", pa.binary())]))
 
-    b1 = keep.keep(joined.mapInArrow(number, lean), "numbered")
+    b1 = keep.keep(joined.mapInArrow(number, lean), "numbered", BLOCKS_AT_ONCE)
     keep.drop("blocks", "words")
 
     state, level = b1, None
     for n in range(2, order + 1):
         level = Level(n, parts, hot, unigram, None, None)
         asked = state.mapInArrow(level.ask, "p int, block string, h binary, many binary, w binary, lower binary, n binary, hot binary").repartition(parts, "p")
-        replies = keep.keep(asked.groupBy("p").applyInArrow(level.answering(), "block string, p int, count binary, t binary, q binary, few binary, stats array<long>, hot array<struct<h:long,t:long,q:double,few:array<long>>>"), f"replies-{n}")
+        replies = keep.keep(asked.groupBy("p").applyInArrow(level.answering(), "block string, p int, count binary, t binary, q binary, few binary, stats array<long>, hot array<struct<h:long,t:long,q:double,few:array<long>>>"), f"replies-{n}", BLOCKS_AT_ONCE)
         sums = replies.filter("block is null").select("p", "stats", "hot").orderBy("p").collect()  # a row for each part
         whole: dict[int, np.ndarray] = {}
         for r in sums:
@@ -228,10 +230,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         named = np.array(sorted(whole), np.int64)
         frequent = spark.sparkContext.broadcast((named, np.array([whole[h] for h in named.tolist()]).reshape(len(named), 2 + LARGE)))
         level = Level(n, parts, hot, unigram, discounts([int(x) for x in np.array([r.stats for r in sums]).sum(0)]), frequent)
-        listed = replies.filter("block is not null").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "count", "t", "q", "few"))).alias("replies"))
-        joined = state.join(listed, "block")
+        listed = replies.filter("block is not null").repartition(together, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "count", "t", "q", "few"))).alias("replies"))
+        joined = state.repartition(together, "block").join(listed, "block")
         if n < order:
-            state = keep.keep(joined.mapInArrow(level.store, lean + ", prob binary, seen binary"), f"grams-{n}")
+            state = keep.keep(joined.mapInArrow(level.store, lean + ", prob binary, seen binary"), f"grams-{n}", BLOCKS_AT_ONCE)
             keep.drop(f"replies-{n}", "numbered" if n == 2 else f"grams-{n - 1}")
 
     def evaluate(batches):
@@ -249,7 +251,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return joined.mapInArrow(evaluate, out_schema)
+    out = keep.keep(joined.mapInArrow(evaluate, out_schema), "scores", BLOCKS_AT_ONCE)
+    keep.drop(f"replies-{order}", "numbered" if order == 2 else f"grams-{order - 1}")
+    return out
 
 
 class Grams(NamedTuple):

@@ -29,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -44,13 +45,16 @@ class Scratch:
         self._fs.mkdirs(self._path(self.path))
         self._fs.deleteOnExit(self._path(self.path))
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
+    def keep(self, df: DataFrame, name: str, rows: int = 2048) -> DataFrame:
+        """``df`` written and read back. Python workers get at most ``rows`` rows at once while it is worked out."""
+        set_, before = {CLEANUP: "true", BATCH: str(rows)}, {k: self.spark.conf.get(k) for k in (CLEANUP, BATCH)}
+        for k, v in set_.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -188,4 +188,4 @@ def _batch(keep: Scratch, vb: DataFrame, queries: DataFrame, k: int, number: int
     nth = Window.partitionBy("query_id").orderBy(F.desc("score"))
     cutoffs = {r.query_id: r.score for r in lists.withColumn("n", F.row_number().over(nth)).filter(F.col("n") == k).collect()}
     safe = context.broadcast(cutoffs)
-    return keep.keep(vb.mapInArrow(lambda rows: stream(rows, safe.value), FOUND), f"found-{number}")
+    return keep.keep(vb.mapInArrow(lambda rows: stream(rows, safe.value), FOUND), f"found-{number}", 64)
