@@ -12,6 +12,7 @@ from crawlsched.operators import control, ingest, inspect, serve
 from crawlsched.plans.fixture import MORE_OK, MORE_SQL, NOW, PUTS_SQL, STATE_SQL, due_sql, more_puts, puts, read, state
 from crawlsched.schema import KEYS, METADATA, URL_KEYS
 from crawlsched.sources import dump
+from crawlsched.sources.puts import parse_lines as parsed
 from crawlsched.streaming.rates import ack_rate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,7 +522,35 @@ def ack_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.averages(read(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind")))
 
 
-# Sinks and rates
+@query(f"WITH {STATE_SQL} SELECT crawl_id, url, strftime(make_timestamp(refetch * 1000000), '%Y-%m-%dT%H:%M:%S') AS shown FROM urls")
+def shown_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state(spark, sf_dir).urls.select("crawl_id", "url", keys.shown_date(F.col("refetch")).alias("shown"))
+
+
+# Sources, sinks and rates
+
+
+@query("""SELECT CASE WHEN page_id % 5 = 0 THEN concat('mine_http://h', CAST(page_id AS VARCHAR), '.org/') ELSE concat('i', CAST(page_id AS VARCHAR)) END AS id,
+    CASE WHEN page_id % 5 IN (0, 1) THEN 'discovered' WHEN page_id % 5 IN (2, 3) THEN 'known' ELSE 'invalid' END AS kind,
+    CASE WHEN page_id % 5 = 0 THEN 'mine' WHEN page_id % 5 = 1 THEN 'c_1' END AS crawl_id, CASE WHEN page_id % 5 = 0 THEN '' WHEN page_id % 5 = 2 THEN 'q' END AS key,
+    CASE WHEN page_id % 5 <> 4 THEN concat('http://h', CAST(page_id AS VARCHAR), '.org/') END AS url, CASE WHEN page_id % 5 = 1 THEN 'a,b' ELSE '' END AS meta,
+    CASE WHEN page_id % 5 IN (2, 3) THEN 1700000000 + page_id ELSE 0 END AS refetch FROM pages WHERE page_id IS NOT NULL""")
+def parse_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Put items from plain URLs and JSON lines of several sorts, with dates as numbers and as strings."""
+    n = F.col("page_id").cast("string")
+    url = F.concat(F.lit("http://h"), n, F.lit(".org/"))
+    own = F.concat(F.lit('"ID": "i'), n, F.lit('"}'))
+    date = F.concat(F.lit("17"), F.lpad(n, 8, "0"))
+    line = (
+        F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("  "), url, F.lit("\t")))
+        .when(F.col("page_id") % 5 == 1, F.concat(F.lit('{"discovered": {"info": {"url": "'), url, F.lit('", "crawlID": "c_1", "metadata": {"m": {"values": ["a", "b"]}}}}, '), own))
+        .when(F.col("page_id") % 5 == 2, F.concat(F.lit('{"known": {"info": {"url": "'), url, F.lit('", "key": "q"}, "refetchableFromDate": "'), date, F.lit('"}, '), own))
+        .when(F.col("page_id") % 5 == 3, F.concat(F.lit('{"known": {"info": {"url": "'), url, F.lit('"}, "refetchableFromDate": '), date, F.lit("}, "), own))
+        .otherwise(F.concat(F.lit("{"), own))
+    )
+    items = parsed(read(spark, sf_dir, "pages").filter("page_id is not null").select(line.alias("value")), "mine")
+    return items.select("id", "kind", "crawl_id", "key", "url", F.array_join(F.coalesce(F.col("metadata")["m"], F.array().cast("array<string>")), ",").alias("meta"), "refetch")
+
 
 
 @query(f"""WITH {STATE_SQL} SELECT concat('{{"known":{{"info":{{"url":"', url, '","key":"', key, '"', CASE WHEN status IS NULL THEN '' ELSE concat(',"metadata":{{"status":{{"values":["', status, '"]}}}}') END,
