@@ -47,7 +47,7 @@ SHIFT = 40
 ADD = 0.1
 
 
-ORDER = 3
+ORDER = 2
 
 
 def put(a: np.ndarray) -> bytes:
