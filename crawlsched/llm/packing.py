@@ -15,11 +15,8 @@ white space and never joins across it, so the identifiers are those of the whole
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,93 +25,129 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crawlsched.llm.shared import Scratch
+from crawlsched.llm.textarrays import bounds, buffers, hashes, spans
 
 CAPACITY = 4096
 END = 1
 PART_ROWS = 1 << 18
-CACHE_CHUNKS = 400_000
-CACHE_WORDS = 400_000
-_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_ODD = re.compile("[\t\n\r ]+")
+CACHE_CHUNKS = 100_000
+CACHE_WORDS = 600_000
+PART = 2 << 20
+LONGEST_PART = 4 << 20
+_SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_BLANK = np.array([0x20, *range(0x09, 0x0E)], np.uint8)
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+def _places(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each run, one run behind the other."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - (stop - size), size) + np.arange(int(size.sum()))
+
+
 class WordTokenizer:
-    """Identifiers of texts as little-endian uint32 bytes, with bounded caches.
+    """Identifiers of texts as little-endian uint32.
 
-    White space parts texts into chunks. A chunk of letters with ASCII signs behind them is two words to the tokenizer
-    (``_TAIL`` leaves out the apostrophe, which may belong to either), so its identifiers are put together from caches
-    of lower-case words and of tails; other chunks are encoded whole."""
+    White space parts texts into chunks; equal chunks of some megabytes of text are looked up once, and their identifiers are
+    dealt out to all places by numpy. A chunk of letters is one word to the tokenizer, with ASCII signs behind them (but
+    for the apostrophe, which may belong to either) it is two; case makes no difference. Many words are encoded in one go. Letters
+    are A to Z and those of Latin-1, which are whole characters in normal form. Signs, and chunks of other kinds,
+    are encoded one by one. What was encoded is cached, within bounds."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
-
-    def batch(self, texts: list[str]) -> list[bytes]:
+        self.cache: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def one_by_one(self, chunks: list[str]) -> list[bytes]:
+        missing = list(set(chunks).difference(self.cache))
+        if len(self.cache) + len(missing) > CACHE_CHUNKS:
+            self.cache.clear()
+            missing = list(set(chunks))
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        return [np.array(e.ids, "<u4").tobytes() for at in range(0, len(texts), 4096) for e in encode(texts[at : at + 4096], add_special_tokens=False)]
-
-    def tail(self, signs: str) -> bytes:
-        found = self.tails.get(signs)
-        if found is None:
-            if len(self.tails) >= CACHE_WORDS:
-                self.tails = {"": b""}
-            found = self.tails[signs] = self.batch([signs])[0]
-        return found
-
-    def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) + len(chunks) > CACHE_CHUNKS:
-            self.chunks.clear()
-        known, out, later, hard = self.words, self.chunks, [], []
-        unknown: dict[str, None] = {}
-        for c in chunks:
-            body = c.rstrip(_TAIL)
-            word = body.lower()
-            if not (body.isalpha() and (body.isascii() or (word.isalpha() and "\u03a3" not in body and is_normalized("NFC", body)))):
-                hard.append(c)
-            elif (ids := known.get(word)) is None:
-                unknown[word] = None
-                later.append((c, word, len(body)))
-            else:
-                out[c] = ids if len(body) == len(c) else ids + self.tail(c[len(body) :])
-        if len(known) + len(unknown) > CACHE_WORDS:
-            known.clear()
-        new = list(unknown)
+        for at in range(0, len(missing), 4096):
+            some = missing[at : at + 4096]
+            self.cache.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, encode(some, add_special_tokens=False), strict=True))
+        return list(map(self.cache.__getitem__, chunks))
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Identifiers of words of letters, where each begins, and how many each has."""
+        found = list(map(self.known.get, words))
+        new = [k for k, x in enumerate(found) if x is None]
+        flat, size = [b"".join(filter(None, found))], np.fromiter((len(x) // 4 if x else 0 for x in found), np.int64, len(found))
+        begin = np.cumsum(size) - size
+        if len(self.known) > CACHE_WORDS:
+            self.known.clear()
+        done = len(flat[0]) // 4
         for at in range(0, len(new), 2048):
-            some = new[at : at + 2048]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, of = np.array(e.ids, "<u4").tobytes(), np.array(e.word_ids, np.int64)
-            cuts = (4 * np.searchsorted(of, np.arange(len(some) + 1))).tolist()
-            for w, x, y in zip(some, cuts, cuts[1:], strict=False):
-                known[w] = ids[x:y]
-        for c, word, n in later:
-            out[c] = known[word] if n == len(c) else known[word] + self.tail(c[n:])
-        out.update(zip(hard, self.batch(hard), strict=True))
-
-    def joined(self, parted: list[list[str]]) -> list[bytes]:
-        found = [list(map(self.chunks.get, c)) for c in parted]
-        missing = {x for c, got in zip(parted, found, strict=True) if None in got for x, y in zip(c, got, strict=True) if y is None}
-        if missing:
-            self.learn(missing)
-            for k, (c, got) in enumerate(zip(parted, found, strict=True)):
-                if None in got:
-                    found[k] = [self.chunks[x] if y is None else y for x, y in zip(c, got, strict=True)]
-        return [b"".join(got) for got in found]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        # str.split() takes \x1c to \x1f for white space, the tokenizer does not.
-        parted = [_ODD.split(t) if _SEPARATORS.search(t) else t.split() for t in texts]
-        if sum(map(len, parted)) <= CACHE_CHUNKS:
-            yield from self.joined(parted)
-            return
-        for c in parted:  # very long texts, piece by piece
-            yield b"".join(self.joined([c[at : at + 100_000]])[0] for at in range(0, len(c), 100_000))
+            own = new[at : at + 2048]
+            e = self.tokenizer.encode(" ".join([words[k] for k in own]), add_special_tokens=False)
+            ids, many = np.array(e.ids, "<u4").tobytes(), np.bincount(np.array(e.word_ids, np.int64), minlength=len(own))
+            size[own], begin[own] = many, done + np.cumsum(many) - many
+            flat.append(ids)
+            stops = (4 * np.cumsum(many)).tolist()
+            self.known.update((words[k], ids[x:y]) for k, x, y in zip(own, [0, *stops], stops, strict=False))
+            done += len(ids) // 4
+        return np.frombuffer(b"".join(flat), "<u4"), begin, size
+
+    def _part(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts, ends = bounds(raw, at)
+        _, first, inverse = np.unique(hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        a, b = starts[first], ends[first]
+        # Bytes of letters: ASCII, or two that stand for a letter of Latin-1.
+        letter, lead = _LETTER[raw], raw[:-1] == 0xC3
+        pair = lead & (raw[1:] >= 0x80) & (raw[1:] < 0xC0) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
+        letter[:-1] |= pair
+        letter[1:] |= pair
+        letters, signs = (np.concatenate(([0], np.cumsum(x))) for x in (letter, _SIGN[raw]))
+        body = letters[b] - letters[a]
+        easy = (body > 0) & (letters[a + body] - letters[a] == body) & (signs[b] - signs[a + body] == b - a - body)
+        data = raw.tobytes()
+        cut = lambda x, y: [data[i:j].decode("utf-8", "replace") for i, j in zip(x.tolist(), y.tolist(), strict=True)]
+        # Words of letters, in lower case, each once; then signs behind them; then the other chunks.
+        ea, eb = a[easy], (a + body)[easy]
+        place = np.argsort(ea)
+        lower = np.empty(len(ea), np.uint64)
+        lower[place] = hashes(raw, ea[place], eb[place], True)
+        _, one, word = np.unique(lower, return_index=True, return_inverse=True)
+        flat, begin, size = self.words([w.lower() for w in cut(ea[one], eb[one])])
+        tail = easy & (b > a + body)
+        rest = self.one_by_one(cut(np.concatenate(((a + body)[tail], a[~easy])), np.concatenate((b[tail], b[~easy]))))
+        more = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
+        flat = np.concatenate((flat, np.frombuffer(b"".join(rest), "<u4")))
+        more_begin = len(flat) - int(more.sum()) + np.cumsum(more) - more
+        # Units of each chunk: a word, what is behind it; or one of another kind.
+        unit_begin, unit_size = np.zeros((len(a), 2), np.int64), np.zeros((len(a), 2), np.int64)
+        unit_begin[easy, 0], unit_size[easy, 0] = begin[word], size[word]
+        for rows, column, own in ((tail, 1, slice(0, int(tail.sum()))), (~easy, 0, slice(int(tail.sum()), None))):
+            unit_begin[rows, column], unit_size[rows, column] = more_begin[own], more[own]
+        flat, size = flat[_places(unit_begin.ravel(), unit_size.ravel())], unit_size.sum(1)
+        many = size[inverse]
+        ids = flat[_places((np.cumsum(size) - size)[inverse], many)]
+        return ids, np.concatenate(([0], np.cumsum(many)))[np.searchsorted(starts, at)]
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of all rows, one behind the other, and where each row begins (and the last one ends)."""
+        if len(raw) <= LONGEST_PART:
+            return self._part(raw, at)
+        out, cut = [], 0  # a very long text, in parts that end at white space
+        while cut < len(raw):
+            stop = min(len(raw), cut + LONGEST_PART)
+            while stop < len(raw) and not (blank := np.flatnonzero(np.isin(raw[stop : stop + 4096], _BLANK))).size:
+                stop = min(len(raw), stop + 4096)
+            stop += int(blank[0]) if stop < len(raw) else 0
+            own = np.unique(np.concatenate(([cut], at[(at > cut) & (at < stop)], [stop]))) - cut
+            ids, begin = self._part(raw[cut:stop], own)
+            out.append((ids, own + cut, begin))
+            cut = stop
+        size = np.concatenate(([0], np.cumsum([len(x[0]) for x in out])))
+        place, begin = np.concatenate([x[1][:-1] for x in out] + [[len(raw)]]), np.concatenate([x[2][:-1] + s for x, s in zip(out, size, strict=False)] + [[size[-1]]])
+        return np.concatenate([x[0] for x in out]), begin[np.searchsorted(place, at)]
 
 
 @lru_cache(maxsize=2)
@@ -127,18 +160,20 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
     """One row per piece of at most ``capacity`` tokens: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches):
-        tok, stop, step = word_tokenizer(tokenizer), np.array([end], "<u4").tobytes(), 4 * capacity
+        tok = word_tokenizer(tokenizer)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for lo in range(0, len(ids), 256):
-                out = []
-                some = [x or "" for x in texts.slice(lo, 256).to_pylist()]
-                for i, got in zip(ids[lo : lo + 256], tok.encode(some), strict=True):
-                    got += stop
-                    for at in range(0, len(got), step):
-                        own = got[at : at + step]
-                        out.append((i, at // step, at // 4, len(own) // 4, zlib.crc32(own)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
+            for lo, many in spans([batch.column(1)], 4096, PART):
+                ids, begin = tok.encode(*buffers(batch.column(1).slice(lo, many)))
+                ids, begin = np.insert(ids, begin[1:], end), begin + np.arange(many + 1)
+                data, size = memoryview(ids.astype("<u4").tobytes()), np.diff(begin)
+                pieces = -(-size // capacity)
+                row = np.repeat(np.arange(many), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(size[row] - start, capacity)
+                at = 4 * (begin[row] + start)
+                crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, many).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=[x.split()[0] for x in PIECES.split(", ")])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
 

@@ -64,10 +64,10 @@ def spans(columns: list[pa.Array], rows: int = 1024, size: int = 1 << 20) -> lis
     return out
 
 
-def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of each word of all rows, in order. ``lower`` maps A-Z to a-z first."""
+def bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of all rows begins and ends, in order."""
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     word = ~_SPACE[raw]
     begin, end = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
@@ -75,7 +75,11 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndar
     edges = at[1:-1][(at[1:-1] > 0) & (at[1:-1] < len(raw))]
     begin[edges] |= word[edges]
     end[edges - 1] |= word[edges - 1]
-    starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
+    return np.flatnonzero(begin), np.flatnonzero(end) + 1
+
+
+def hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
+    """A hash of each word. ``lower`` maps A-Z to a-z first."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -88,7 +92,13 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndar
         s, e = starts[i:j] - a, ends[i:j] - a
         out[i:j] = mix((sums[e] - sums[s]) * _powers(_INV, b - a)[s] + (e - s).astype(np.uint64))
         i = j
-    return out, np.searchsorted(at, starts, "right") - 1
+    return out
+
+
+def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each word of all rows, in order."""
+    starts, ends = bounds(raw, at)
+    return hashes(raw, starts, ends, lower), np.searchsorted(at, starts, "right") - 1
 
 
 def runs(sorted_: np.ndarray) -> np.ndarray:

@@ -616,6 +616,21 @@ def test_packing(spark, docs, odd, none):
     assert packing.pack_documents(none, queries.tokenizer()).count() == 0
 
 
+def test_tokenizer_shortcuts(spark, monkeypatch):
+    """Parting, looking up and dealing out give what the tokenizer gives for whole texts."""
+    from tokenizers import Tokenizer
+
+    rng, tok = random.Random(9), Tokenizer.from_file(queries.tokenizer())
+    signs = list("abcXYZ éßÉÿ×÷ñµªº 019 .,;-'\"!?()[]{}_/\\ \t\n\r\x0b\x1c\x1f\u00a0\u2028\u3000 Σσς e\u0301 ı İ 漢字 \U0001f600 \u00ad don't it's")
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["", " ", "a" * 5000, "é" * 3000]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text is not None]
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for longest in (packing.LONGEST_PART, 50_000):
+        monkeypatch.setattr(packing, "LONGEST_PART", longest)
+        ids, begin = packing.WordTokenizer(queries.tokenizer()).encode(*packing.buffers(packing.pa.array(texts)))
+        assert [ids[a:b].tolist() for a, b in zip(begin, begin[1:], strict=False)] == want
+
+
 @pytest.mark.parametrize("room", [0, 1, 7, 13, 29])
 def test_fullest_is_fullest(room):
     counts = {11: 1, 7: 2, 5: 1, 3: 2}
