@@ -45,7 +45,7 @@ class Scratch:
         self._fs.mkdirs(self._path(self.path))
         self._fs.deleteOnExit(self._path(self.path))
 
-    def keep(self, df: DataFrame, name: str, rows: int = 2048) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int = 1024) -> DataFrame:
         """``df`` written and read back. Python workers get at most ``rows`` rows at once while it is worked out."""
         set_, before = {CLEANUP: "true", BATCH: str(rows)}, {k: self.spark.conf.get(k) for k in (CLEANUP, BATCH)}
         for k, v in set_.items():
