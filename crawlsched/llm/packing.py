@@ -31,9 +31,9 @@ CAPACITY = 4096
 END = 1
 PART_ROWS = 1 << 18
 CACHE_CHUNKS = 100_000
-CACHE_WORDS = 600_000
-PART = 2 << 20
-LONGEST_PART = 4 << 20
+CACHE_WORDS = 400_000
+PART = 1 << 20
+LONGEST_PART = 2 << 20
 _SIGN, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
 _SIGN[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -104,8 +104,8 @@ class WordTokenizer:
         pair = lead & (raw[1:] >= 0x80) & (raw[1:] < 0xC0) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)
         letter[:-1] |= pair
         letter[1:] |= pair
-        letters, signs = (np.concatenate(([0], np.cumsum(x))) for x in (letter, _SIGN[raw]))
-        body = letters[b] - letters[a]
+        letters, signs = (np.concatenate((np.zeros(1, np.int32), np.cumsum(x, dtype=np.int32))) for x in (letter, _SIGN[raw]))
+        body = (letters[b] - letters[a]).astype(np.int64)
         easy = (body > 0) & (letters[a + body] - letters[a] == body) & (signs[b] - signs[a + body] == b - a - body)
         data = raw.tobytes()
         cut = lambda x, y: [data[i:j].decode("utf-8", "replace") for i, j in zip(x.tolist(), y.tolist(), strict=True)]
