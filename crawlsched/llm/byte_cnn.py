@@ -22,6 +22,7 @@ from pyspark.sql.types import StringType, StructType
 
 from crawlsched.llm.sample import bounded
 from crawlsched.llm.shared import fold
+from crawlsched.llm.textarrays import trimmed
 
 DIM, WIDTH, STRIDE, FILTERS = 8, 6, 2, 20
 CHUNK, OVERLAP = 512, 64
@@ -179,4 +180,4 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
     schema = "doc_id long, held_out boolean, score double, predicted int"
     if keep:
         schema = StructType.fromDDL(schema).add(asked.schema["row"])
-    return asked.mapInArrow(predict, schema)
+    return asked.mapInArrow(trimmed(predict), schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlsched.llm.shared import Scratch
-from crawlsched.llm.textarrays import buffers, mix, runs, spans, words
+from crawlsched.llm.textarrays import buffers, mix, runs, spans, trimmed, words
 
 LARGE = 5
 BLOCK_TOKENS = 1 << 20
@@ -131,7 +131,7 @@ def blocks(docs: DataFrame, doc_id: str, text: str, folds: int) -> DataFrame:
             yield flush()
 
     schema = pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("tokens", pa.int64()), ("train_tokens", pa.int64()), ("vocab", pa.binary()), ("stream", pa.binary()), ("ends", pa.binary())])
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(make, BLOCK)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(make), BLOCK)
 
 
 def trained(row: dict) -> np.ndarray:
@@ -184,7 +184,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         out.append({"block": None, "p": rows[0]["p"], "ids": None, "counts": None, "stats": [int((count > 0).sum()), *exact, *(int(count[count == r].sum()) for r in range(1, LARGE + 1))]})
         return pa.Table.from_pylist(out, pa.schema([("block", pa.string()), ("p", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("stats", pa.list_(pa.int64()))]))
 
-    asked = b0.mapInArrow(ask_words, "p int, block string, words binary, counts binary").repartition(parts, "p")
+    asked = b0.mapInArrow(trimmed(ask_words), "p int, block string, words binary, counts binary").repartition(parts, "p")
     replies = keep.keep(asked.groupBy("p").applyInArrow(answer_words, "block string, p int, ids binary, counts binary, stats array<long>"), "words", BLOCKS_AT_ONCE)
     stats = np.array([r.stats for r in replies.filter("block is null").select("stats").collect()]).sum(0)  # a row for each part
     types, seen_n = int(stats[0]), [int(x) for x in stats[1 : LARGE + 2]]
@@ -214,13 +214,13 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                     counts[own] = take(r["counts"], np.uint64)
                 yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("block", "doc_ids", "held", "stream", "ends")} | {"ids": put(ids), "counts": put(counts)}], pa.schema([("block", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("ids", pa.binary()), ("counts", pa.binary()), ("stream", pa.binary()), ("ends", pa.binary())]))
 
-    b1 = keep.keep(joined.mapInArrow(number, lean), "numbered", BLOCKS_AT_ONCE)
+    b1 = keep.keep(joined.mapInArrow(trimmed(number), lean), "numbered", BLOCKS_AT_ONCE)
     keep.drop("blocks", "words")
 
     state, level = b1, None
     for n in range(2, order + 1):
         level = Level(n, parts, hot, unigram, None, None)
-        asked = state.mapInArrow(level.ask, "p int, block string, h binary, many binary, w binary, lower binary, n binary, hot binary").repartition(parts, "p")
+        asked = state.mapInArrow(trimmed(level.ask), "p int, block string, h binary, many binary, w binary, lower binary, n binary, hot binary").repartition(parts, "p")
         replies = keep.keep(asked.groupBy("p").applyInArrow(level.answering(), "block string, p int, count binary, t binary, q binary, few binary, stats array<long>, hot array<struct<h:long,t:long,q:double,few:array<long>>>"), f"replies-{n}", BLOCKS_AT_ONCE)
         sums = replies.filter("block is null").select("p", "stats", "hot").orderBy("p").collect()  # a row for each part
         whole: dict[int, np.ndarray] = {}
@@ -233,7 +233,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         listed = replies.filter("block is not null").repartition(together, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("p", "count", "t", "q", "few"))).alias("replies"))
         joined = state.repartition(together, "block").join(listed, "block")
         if n < order:
-            state = keep.keep(joined.mapInArrow(level.store, lean + ", prob binary, seen binary"), f"grams-{n}", BLOCKS_AT_ONCE)
+            state = keep.keep(joined.mapInArrow(trimmed(level.store), lean + ", prob binary, seen binary"), f"grams-{n}", BLOCKS_AT_ONCE)
             keep.drop(f"replies-{n}", "numbered" if n == 2 else f"grams-{n - 1}")
 
     def evaluate(batches):
@@ -251,7 +251,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    out = keep.keep(joined.mapInArrow(evaluate, out_schema), "scores", BLOCKS_AT_ONCE)
+    out = keep.keep(joined.mapInArrow(trimmed(evaluate), out_schema), "scores", BLOCKS_AT_ONCE)
     keep.drop(f"replies-{order}", "numbered" if order == 2 else f"grams-{order - 1}")
     return out
 

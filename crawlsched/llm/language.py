@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from crawlsched.llm.sample import bounded
 from crawlsched.llm.shared import fold
+from crawlsched.llm.textarrays import trimmed
 
 ORDER = 4
 SAMPLE = 600
@@ -249,4 +250,4 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
                 names, p, e, far = model.value.predict(texts) if model.value else (["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names, pa.string()), pa.array(p), pa.array(e), pa.array(far)], names=["doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected"])
 
-    return d.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")
+    return d.select("doc_id", (fold(F.col("doc_id"), folds) == 0).alias("held_out"), "text").mapInArrow(trimmed(predict), "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double, rejected boolean")

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlsched.llm.shared import Scratch
-from crawlsched.llm.textarrays import buffers, mix, runs, spans, words
+from crawlsched.llm.textarrays import buffers, mix, runs, spans, trimmed, words
 
 WORDS = 5
 LEAST = 0.8
@@ -223,7 +223,7 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
         hot = total[np.bincount(i, weights=np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table["counts"]])) >= least]
         return pa.table({"cell": pa.array(hot, pa.int32())})
 
-    hot = np.sort(np.array([r.cell for r in texts.mapInArrow(cells, "part int, cells binary, counts binary").groupBy("part").applyInArrow(add, "cell int").collect()], np.int64))  # at most BUCKETS
+    hot = np.sort(np.array([r.cell for r in texts.mapInArrow(trimmed(cells), "part int, cells binary, counts binary").groupBy("part").applyInArrow(add, "cell int").collect()], np.int64))  # at most BUCKETS
     if not len(hot):
         return np.zeros(0, np.uint64), np.zeros(0)
     marked = np.zeros(BUCKETS, bool)
@@ -243,7 +243,7 @@ def common_shingles(texts: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
                     held, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(held.view(np.int64)), pa.array(counts)], names=["s", "n"])
 
-    found = texts.mapInArrow(count, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()  # at most mean length / COMMON rows
+    found = texts.mapInArrow(trimmed(count), "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).collect()  # at most mean length / COMMON rows
     s = np.array([r.s for r in found], np.int64).view(np.uint64)
     df = np.array([r.n for r in found], float)
     order = np.argsort(s)
@@ -293,7 +293,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[i
     shared: list[int] = []
     while True:
         rows = d.select("doc_id", "text", number(F.col("text"), shared).alias("node"))
-        signed = rows.filter("text is not null").select("doc_id", "node", F.xxhash64(F.lit(8), "text").alias("other"), "text").mapInArrow(sign, "doc_id long, node long, other long, keys array<long>")
+        signed = rows.filter("text is not null").select("doc_id", "node", F.xxhash64(F.lit(8), "text").alias("other"), "text").mapInArrow(trimmed(sign), "doc_id long, node long, other long, keys array<long>")
         nodes = signed.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys"), (F.min("other") != F.max("other")).alias("twin"))
         nodes = keep.keep(nodes, f"nodes-{len(shared)}")
         twins = [r.node for r in nodes.filter("twin").select("node").collect()]  # about n**2 / 2**65 of n texts
@@ -356,7 +356,7 @@ def _classes(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, list[i
         pairs = keep.keep(edges.select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct(), f"pairs-{turn}")
         used = among(texts, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"wanted-{turn}")
         joined = pairs.join(used.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(used.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-        found = keep.keep(joined.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long, similarity double"), f"links-{turn}")
+        found = keep.keep(joined.select("a", "b", "ta", "tb").mapInArrow(trimmed(check), "a long, b long, similarity double"), f"links-{turn}")
         keep.drop(f"wanted-{turn}", f"pairs-{turn}")
         if not found.limit(1).count():
             break

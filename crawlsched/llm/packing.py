@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from crawlsched.llm.shared import Scratch
-from crawlsched.llm.textarrays import bounds, buffers, hashes, spans
+from crawlsched.llm.textarrays import bounds, buffers, hashes, spans, trimmed
 
 CAPACITY = 4096
 END = 1
@@ -175,7 +175,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 crc = [zlib.crc32(data[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, many).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], names=[x.split()[0] for x in PIECES.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(trimmed(cut), PIECES)
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -260,7 +260,7 @@ def pack(piece_table: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 seq[at], off[at] = sid[k] + rank[at] - lo[k], o[k]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[x.split()[0] for x in (PIECES + ", sequence_id long, offset long").split(", ")])
 
-    return t.mapInArrow(place, PIECES + ", sequence_id long, offset long").unionByName(full)
+    return t.mapInArrow(trimmed(place), PIECES + ", sequence_id long, offset long").unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = END) -> DataFrame:

@@ -5,6 +5,9 @@ A word's hash is a polynomial over its bytes in 64 bits, taken from prefix sums,
 
 from __future__ import annotations
 
+import ctypes
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -101,6 +104,22 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndar
     return hashes(raw, starts, ends, lower), np.searchsorted(at, starts, "right") - 1
 
 
+def trimmed(f):
+    """``f``, which turns batches into batches, with the memory that it freed handed back once it has ended: Python workers
+    live on from task to task, and would keep the most that any of them ever took."""
+
+    @wraps(f)
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def runs(sorted_: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins."""
     if not len(sorted_):
