@@ -25,7 +25,7 @@ def derive_key(url: Column) -> Column:
 def key_of(key: Column, url: Column) -> Column:
     """The stated key or else the derived one; null if there is none or it is too long, counted in UTF-16 units."""
     found = F.coalesce(F.nullif(key, F.lit("")), derive_key(url))
-    return F.when(F.length(found) + F.length(F.regexp_replace(found, r"[^\x{10000}-\x{10FFFF}]", "")) <= LONGEST_KEY, found)
+    return F.when(F.octet_length(F.encode(found, "UTF-16BE")) <= 2 * LONGEST_KEY, found)
 
 
 def queue_id(crawl_id: Column, key: Column) -> Column:
