@@ -46,7 +46,8 @@ def padded_date(date: Column) -> Column:
 
 
 def java_hash(text: Column) -> Column:
-    """The 32-bit string hash of the JVM, as a signed long: over UTF-16 units, so astral characters count twice."""
+    """The 32-bit string hash of the JVM, as a signed long: over UTF-16 units, so astral characters count twice. Folds are
+    interpreted, character by character: plain ASCII takes a shorter step, and the sign refers to the fold only once."""
     mask = F.lit(0xFFFFFFFF).cast("long")
     step = lambda a, unit: (a * 31 + unit).bitwiseAND(mask)
 
@@ -55,8 +56,10 @@ def java_hash(text: Column) -> Column:
         far = code - 0x10000
         return F.when(code < 0x10000, step(a, code)).otherwise(step(step(a, F.shiftright(far, 10) + 0xD800), far.bitwiseAND(F.lit(0x3FF)) + 0xDC00))
 
-    low = F.when(text == "", F.lit(0).cast("long")).otherwise(F.aggregate(F.split(text, ""), F.lit(0).cast("long"), char))
-    return F.when(low >= 2**31, low - 2**32).otherwise(low)
+    fold = lambda f: F.aggregate(F.split(text, ""), F.lit(0).cast("long"), f)
+    plain = F.octet_length(text) == F.char_length(text)
+    low = F.when(plain, fold(lambda a, c: step(a, F.ascii(c)))).otherwise(fold(char))
+    return low.bitwiseXOR(F.lit(2**31)) - 2**31
 
 
 def partition_for(crawl_id: Column, key: Column, nodes: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from crawlsched.functions.keys import derive_key, normalise_crawl, partition_for, url_filter
@@ -68,13 +68,24 @@ def stats(urls: DataFrame, queues: DataFrame, leases: DataFrame, now: int, crawl
         if crawl_id is not None:
             df = df.filter(F.col("crawl_id") == crawl_name(crawl_id))
         parts.append(df.filter(F.col("key") == key) if key else df)
-    per = queue_counts(*parts, now)
-    return per.groupBy("crawl_id").agg(
+    return _added(queue_counts(*parts, now), "crawl_id")
+
+
+def _added(per: DataFrame, *by: str | Column) -> DataFrame:
+    """Rows of ``queue_counts`` as statistics, one row for each value of ``by``."""
+    return per.groupBy(*by).agg(
         F.sum("active").alias("size"), F.sum("in_process").alias("in_process"), F.count("*").alias("number_of_queues"),
         F.sum("completed").alias("completed"), F.count_if((F.col("active") > 0) | (F.col("in_process") > 0)).alias("active_queues"),
     )
 
 
+def stats_by_node(urls: DataFrame, queues: DataFrame, leases: DataFrame, now: int, nodes: int) -> DataFrame:
+    """Rows of ``stats`` with the node they are of, for all nodes in one pass. The owner is worked out once a queue, behind
+    the counts; a filter by owner would be pushed down to every URL. Queues without crawl or key have no owner."""
+    per = queue_counts(urls, queues.dropna(subset=KEYS), leases, now)
+    return _added(per, partition_for(F.col("crawl_id"), F.col("key"), nodes).alias("node"), "crawl_id")
+
+
 def merge_stats(parts: DataFrame) -> DataFrame:
     """Statistics of several nodes (rows as ``stats`` gives them) added up."""
     names = ("size", "in_process", "number_of_queues", "completed", "active_queues")
@@ -87,13 +98,26 @@ def as_message(one: DataFrame) -> DataFrame:
 
 
 def list_queues(queues: DataFrame, urls: DataFrame, now: int, crawl_id: str | None = "", start: int = 0, size: int = 0, include_inactive: bool = False, after: str = "") -> DataFrame:
-    """A page of queues of a crawl by key; unless ``include_inactive``, without those that are blocked or have no
-    scheduled URL, due or not. ``start`` counts queues that match, ``after`` is the last key of the page before."""
+    """A page of queues of a crawl by key, as ``select_queues`` finds them. ``start`` counts queues that match, ``after`` is
+    the last key of the page before."""
+    return select_queues(queues, urls, now, crawl_id, include_inactive, after).orderBy("key").offset(start).limit(size or DEFAULT_PAGE)
+
+
+def select_queues(queues: DataFrame, urls: DataFrame, now: int, crawl_id: str | None = "", include_inactive: bool = False, after: str = "") -> DataFrame:
+    """crawl_id, key: queues of a crawl; unless ``include_inactive``, without those that are blocked or have no scheduled
+    URL, due or not."""
     q = queues.filter((F.col("crawl_id") == crawl_name(crawl_id)) & (F.col("key") > after))
     if not include_inactive:
         own = urls.filter((F.col("crawl_id") == crawl_name(crawl_id)) & (F.col("refetch") != 0))
         q = q.filter(~(F.col("blocked_until") >= now)).join(own.select(*KEYS), KEYS, "left_semi")
-    return q.select(*KEYS).orderBy("key").offset(start).limit(size or DEFAULT_PAGE)
+    return q.select(*KEYS)
+
+
+def pages_by_node(found: DataFrame, nodes: int, size: int = 0) -> DataFrame:
+    """The first page, by key, of each node's queues among those found, in one pass: crawl_id, key, node. Tasks keep a page
+    for each node before the shuffle; beyond a ``size`` of 1000 (``spark.sql.optimizer.windowGroupLimitThreshold``) all."""
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("key"))
+    return owners(found, nodes).withColumn("rank", rank).filter(F.col("rank") <= (size or DEFAULT_PAGE)).drop("rank")
 
 
 def queue_sizes(queues: DataFrame, urls: DataFrame) -> DataFrame:

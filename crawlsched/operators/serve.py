@@ -72,14 +72,14 @@ def gate(queues: DataFrame, urls: DataFrame, leases: DataFrame, now: int, get: G
     """The queues asked for, with completed (of limited queues; else 0), in_process and ``closed`` (the reason)."""
     q = chosen(queues, get)
     limited = q.filter("crawl_limit > 0").select(*KEYS)
-    done = chosen(urls, get).filter("refetch = 0").groupBy(*KEYS).agg(F.count("*").alias("completed")).join(limited, KEYS, "left_semi")
+    done = chosen(urls.filter("refetch = 0"), get).groupBy(*KEYS).agg(F.count("*").alias("completed")).join(limited, KEYS, "left_semi")
     q = q.join(done, KEYS, "left").join(in_process(chosen(leases, get), now), KEYS, "left").fillna(0, ["completed", "in_process"])
     return q.withColumn("closed", reason(now, get.max_urls, default_delay))
 
 
 def due(urls: DataFrame, queues: DataFrame, leases: DataFrame, now: int, get: Get = Get(), default_delay: int = DEFAULT_DELAY, active: bool = True) -> DataFrame:  # noqa: B008
     """The URLs to hand out: columns of ``urls`` and ``rank`` within the queue, from 1."""
-    u = chosen(urls, get).filter((F.col("refetch") != 0) & (F.col("refetch") <= now))
+    u = chosen(urls.filter((F.col("refetch") != 0) & (F.col("refetch") <= now)), get)
     if not active or (get.key and get.crawl_id is None):
         u = u.filter(F.lit(False))
     order = Window.partitionBy(*KEYS).orderBy("refetch", "url")

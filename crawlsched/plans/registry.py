@@ -154,9 +154,7 @@ def stats_one_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stats_merged_over_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of each node's queues, added up."""
     s = state(spark, sf_dir)
-    node = keys.partition_for(F.col("crawl_id"), F.col("key"), NODES)
-    parts = [inspect.stats(*(df.filter(node == n) for df in s), NOW) for n in range(NODES)]
-    return inspect.merge_stats(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return inspect.merge_stats(inspect.stats_by_node(s.urls, s.queues, s.leases, NOW, NODES))
 
 
 @query(f"WITH {STATE_SQL} SELECT crawl_id, key, CAST(active AS BIGINT) AS active, CAST(completed AS BIGINT) AS completed, CAST(in_process AS BIGINT) AS in_process FROM counts JOIN queues USING (crawl_id, key)")
@@ -476,9 +474,8 @@ def list_queues_after(spark: SparkSession, sf_dir: str) -> DataFrame:
 def list_queues_merged_over_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page of each node's queues, merged to one page."""
     s = state(spark, sf_dir)
-    node = keys.partition_for(F.col("crawl_id"), F.col("key"), NODES)
-    pages = [inspect.list_queues(s.queues.filter(node == n), s.urls, NOW, MEDIUM, size=60) for n in range(NODES)]
-    return pages[0].unionByName(pages[1]).unionByName(pages[2]).orderBy("key").limit(60)
+    pages = inspect.pages_by_node(inspect.select_queues(s.queues, s.urls, NOW, MEDIUM), NODES, size=60)
+    return pages.select(*KEYS).orderBy("key").limit(60)
 
 
 @query(f"WITH {STATE_SQL} SELECT q.crawl_id, q.key, CAST(coalesce(c.active + c.completed, 0) AS BIGINT) AS size FROM queues q LEFT JOIN counts c USING (crawl_id, key)")
